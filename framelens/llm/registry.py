@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import mixing, outliers
+from framelens.llm import mixing, outliers, quality, toxicity
 from framelens.llm.common import read_table
 
 
@@ -12,12 +12,20 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op5_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.robust_outliers(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mix_sources, op9_robust_outliers)}
+    return {f.__name__: f for f in (op4_mix_sources, op5_factorisation_machine, op8_toxicity, op9_robust_outliers)}
 
 
 def oracle_sql() -> dict:
