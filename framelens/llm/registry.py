@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import mixing, outliers, quality, toxicity
+from framelens.llm import mixing, outliers, packing, quality, secrets, toxicity
 from framelens.llm.common import read_table
 
 
+def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(packing.VOCABULARY))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -16,6 +22,10 @@ def op5_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -25,7 +35,7 @@ def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mix_sources, op5_factorisation_machine, op8_toxicity, op9_robust_outliers)}
+    return {f.__name__: f for f in (op1_pack_sequences, op4_mix_sources, op5_factorisation_machine, op6_secret_scan, op8_toxicity, op9_robust_outliers)}
 
 
 def oracle_sql() -> dict:
