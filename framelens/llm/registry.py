@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import mixing, outliers, packing, quality, secrets, toxicity
+from framelens.llm import fingerprints, mixing, outliers, packing, quality, secrets, toxicity
 from framelens.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(packing.VOCABULARY))
 
 
+def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints_with_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_sequences, op4_mix_sources, op5_factorisation_machine, op6_secret_scan, op8_toxicity, op9_robust_outliers)}
+    return {f.__name__: f for f in (op1_pack_sequences, op3_spot_signatures, op4_mix_sources, op5_factorisation_machine, op6_secret_scan, op8_toxicity, op9_robust_outliers)}
 
 
 def oracle_sql() -> dict:
