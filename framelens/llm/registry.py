@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import fingerprints, mixing, outliers, packing, quality, secrets, toxicity
+from framelens.llm import fingerprints, mixing, outliers, packing, quality, secrets, suffixes, superkmers, toxicity
 from framelens.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(packing.VOCABULARY))
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints_with_edits(read_table(spark, sf_dir, "documents"))
 
@@ -38,8 +42,12 @@ def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.robust_outliers(read_table(spark, sf_dir, "documents"))
 
 
+def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.remove_seen_windows(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_sequences, op3_spot_signatures, op4_mix_sources, op5_factorisation_machine, op6_secret_scan, op8_toxicity, op9_robust_outliers)}
+    return {f.__name__: f for f in (op1_pack_sequences, op2_suffix_array, op3_spot_signatures, op4_mix_sources, op5_factorisation_machine, op6_secret_scan, op8_toxicity, op9_robust_outliers, op10_super_kmers)}
 
 
 def oracle_sql() -> dict:
