@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import fingerprints, mixing, outliers, packing, quality, secrets, suffixes, superkmers, toxicity
+from framelens.llm import fingerprints, forest, mixing, outliers, packing, quality, secrets, suffixes, superkmers, toxicity
 from framelens.llm.common import read_table
 
 
@@ -34,6 +34,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_sequences, op2_suffix_array, op3_spot_signatures, op4_mix_sources, op5_factorisation_machine, op6_secret_scan, op8_toxicity, op9_robust_outliers, op10_super_kmers)}
+    return {f.__name__: f for f in (op1_pack_sequences, op2_suffix_array, op3_spot_signatures, op4_mix_sources, op5_factorisation_machine, op6_secret_scan, op7_lsh_forest, op8_toxicity, op9_robust_outliers, op10_super_kmers)}
 
 
 def oracle_sql() -> dict:
