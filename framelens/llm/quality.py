@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import crc_fold, stored
+from framelens.llm.common import bounded_sample, crc_fold
 
 WORD_BUCKETS = 1 << 15
 FACTORS = 8
@@ -154,18 +154,18 @@ def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"label": batch["label"], "ids": [a.astype(np.int32).tobytes() for a, _ in rows], "stats": [b.tobytes() for _, b in rows]})
 
 
-def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> Machine:
-    """labelled: doc_id, text, n_chars, label (0 or 1)."""
-    labelled = labelled.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"), F.col("label").cast("int").alias("label")).where("label in (0, 1)")
-    labelled = stored(labelled)
-    order = [F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))]
-    parts = [labelled.where(F.col("label") == k).orderBy(*order).limit(max_fit) for k in (0, 1)]
-    sample = parts[0].unionByName(parts[1]).mapInPandas(_encoded, "label int, ids binary, stats binary").collect()  # bounded by max_fit
-    labels = np.array([r["label"] for r in sample], float)
-    if not len(labels) or labels.min() == labels.max():
-        level = 0.0 if not len(labels) else 30.0 if labels[0] else -30.0
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Machine:
+    """docs: doc_id, text, n_chars. labels: _id, label (others than 0 and 1 are not used)."""
+    chosen = bounded_sample(labels, max_fit)
+    sized = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"))
+    rows = sized.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most 2 * max_fit ids
+    sample = rows.select("label", "text", "n_chars").mapInPandas(_encoded, "label int, ids binary, stats binary").collect()  # bounded likewise
+    sample.sort(key=lambda r: (r["label"], r["ids"], r["stats"]))
+    known = np.array([r["label"] for r in sample], float)
+    if not len(known) or known.min() == known.max():
+        level = 0.0 if not len(known) else 30.0 if known[0] else -30.0
         return Machine(level, np.zeros(WORD_BUCKETS + STATISTICS), np.zeros((WORD_BUCKETS + STATISTICS, FACTORS)))
-    return train([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["stats"], np.float32)) for r in sample], labels)
+    return train([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["stats"], np.float32)) for r in sample], known)
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
@@ -186,6 +186,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     own = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label"))
     own = own.where((crc_fold("_id", FOLDS) != HELD_OUT) & F.col("label").isNotNull())
-    training = docs.select("doc_id", "text", "n_chars").join(own, F.col("doc_id") == F.col("_id")).drop("_id")
-    out = score(docs.select("doc_id", "text", "n_chars"), fit(training))
+    docs = docs.select("doc_id", "text", "n_chars")
+    out = score(docs, fit(docs, own))
     return out.select("doc_id", (crc_fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
