@@ -1,12 +1,12 @@
 """Toxicity: a character n-gram linear classifier scaled by naive Bayes log-count ratios.
 
 Features are the hashed character n-grams (4 to 6, over words in lower case with a space on
-either side) that a text holds, each once. Over all training rows Spark counts in how many
-toxic and clean texts each feature occurs; the ratio of the smoothed logarithms scales the
-feature. A logistic regression on the scaled features is then fitted on a bounded sample of
-the labelled rows: at most ``max_fit`` of each label, those with the smallest digest of the
-id. Nothing else is bounded: the ratios use every labelled row, and every whole text is
-scored.
+either side) that a text holds, each once. A feature is scaled by the ratio of the smoothed
+logarithms of the shares of toxic and of clean texts that hold it. A logistic regression is
+fitted on the scaled features. The classifier is fitted on a bounded sample of the labelled
+rows, those with the smallest digest of the id: ratios on at most ``MAX_COUNT`` of each
+label (counted by Spark with partial sums), coefficients on at most ``MAX_FIT`` of those.
+Every whole text is scored.
 
 Defined results: a null text is empty and is scored by the intercept alone; labels of null
 are not used; without labels of both kinds every score is the share of toxic labels (0.0
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import crc_fold, stored
+from framelens.llm.common import bounded_sample, crc_fold, stored
 
 BITS = 18
 SIZES = (4, 5, 6)
@@ -32,9 +32,10 @@ FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Labelled rows of each label that the linear model is fitted on, at most.
 MAX_FIT = 4000
+#: Labelled rows of each label that the log-count ratios are taken from, at most.
+MAX_COUNT = 12_000
 #: Features whose shares in toxic and clean rows differ by fewer standard errors get the ratio 0.
 LEAST_Z = 2.5
-SAMPLE_TASKS = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 
@@ -146,15 +147,15 @@ def log_count_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic
     return np.where(np.abs(z) >= least_z, np.log(p / q), 0.0)
 
 
-def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> Model:
-    """labelled: doc_id, text, label (0 or 1). Ratios over all rows, coefficients on a bounded sample."""
-    labelled = stored(labelled.select("doc_id", "text", F.col("label").cast("int").alias("label")).where("label in (0, 1)"))
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_count: int = MAX_COUNT) -> Model:
+    """docs: doc_id, text. labels: _id, label (others than 0 and 1 are not used)."""
+    chosen = bounded_sample(labels, max_count)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most 2 * max_count ids
+    labelled = stored(rows.select("text", F.col("label").cast("int").alias("label"), "_rank"))
     totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not clean or not toxic:
-        share = toxic / max(clean + toxic, 1)
-        level = -30.0 if share == 0 else 30.0
-        return Model(np.zeros(1 << BITS), level)
+        return Model(np.zeros(1 << BITS), 30.0 if toxic else -30.0)
     counted = labelled.mapInPandas(_count, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # at most 2**BITS rows
     ratios = np.zeros(1 << BITS)
     ratios[counted["feature"].to_numpy()] = log_count_ratios(counted["clean"].to_numpy(), counted["toxic"].to_numpy(), clean, toxic)
@@ -170,9 +171,7 @@ def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> Model:
                 found += [ids[a:b].astype(np.int32).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
             yield pd.DataFrame({"label": batch["label"], "ids": found})
 
-    order = [F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))]
-    parts = [labelled.where(F.col("label") == k).orderBy(*order).limit(max_fit) for k in (0, 1)]
-    sample = parts[0].unionByName(parts[1]).repartition(SAMPLE_TASKS).mapInPandas(encoded, "label int, ids binary").collect()  # bounded by max_fit
+    sample = labelled.where(F.col("_rank") <= max_fit).mapInPandas(encoded, "label int, ids binary").collect()  # bounded by max_fit
     sample.sort(key=lambda r: (r["label"], r["ids"]))
     found = [np.frombuffer(r["ids"], np.int32) for r in sample]
     rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
@@ -194,15 +193,14 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return docs.withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """Texts with the label in column, from the folds that are not held out."""
+def training_labels(labels: DataFrame, column: str) -> DataFrame:
+    """_id and label of the folds that are not held out."""
     own = labels.select(F.col("doc_id").alias("_id"), F.col(column).cast("int").alias("label"))
-    own = own.where((crc_fold("_id", FOLDS) != HELD_OUT) & F.col("label").isNotNull())
-    return docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    return own.where((crc_fold("_id", FOLDS) != HELD_OUT) & F.col("label").isNotNull())
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    model = fit(training_rows(docs, labels, "toxic"))
-    out = score(docs.select("doc_id", "text"), model)
+    docs = docs.select("doc_id", "text")
+    out = score(docs, fit(docs, training_labels(labels, "toxic")))
     return out.select("doc_id", (crc_fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
