@@ -60,42 +60,67 @@ def _border(rows: DataFrame, bin_column: str, before: str) -> DataFrame:
     return over.select("_s", F.col(bin_column).alias(f"_at{bin_column}"), (F.col("_upto") - F.col("_words")).alias(f"_before{bin_column}"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, weight_col: str | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for every row of docs."""
+def _sized(docs: DataFrame, weight_col: str | None) -> DataFrame:
     own = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    sizes = stored(
-        docs.select("doc_id", F.col("source").alias("_source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(0.0)).alias("_own")).withColumn("_s", key_of("_source"))
-    )
-    targets = source_targets(sizes, list(weights), share, cap)
-    means = sizes.groupBy("_s").agg((F.sum(F.col("_own") * F.col("size")) / F.sum("size")).alias("_mean"))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    return docs.withColumns({"_source": F.col("source"), "size": size, "_own": F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(0.0)), "_s": key_of("source")})
+
+
+def _rated(rows: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
+    """rows with their certain copies (_whole) and the probability of one more (_p)."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    if weight_col:
-        targets = targets.join(means, "_s")
-        rate = F.least(F.lit(float(cap)), rate * F.coalesce(F.col("_own") / F.col("_mean"), F.lit(0.0)))
-    targets = stored(targets)
-    ranked = sizes.join(targets.drop("_source"), "_s").withColumn("_rate", rate)
-    ranked = ranked.withColumn("_whole", F.floor("_rate")).withColumn("_p", F.col("_rate") - F.col("_whole"))
-    certain = ranked.groupBy("_s").agg(F.sum(F.col("_whole") * F.col("size")).alias("_certain"))
+    rate = F.when(F.col("_mean").isNull(), rate).otherwise(F.least(F.lit(float(cap)), rate * F.coalesce(F.col("_own") / F.col("_mean"), F.lit(0.0))))
+    rows = rows.join(targets, "_s").withColumn("_rate", rate).withColumn("_whole", F.floor("_rate"))
+    return rows.withColumn("_p", F.col("_rate") - F.col("_whole"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows with the ranking variable _q and its bins."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(UNIT)
-    ranked = ranked.join(certain, "_s").withColumn("_left", F.col("target") - F.col("_certain")).withColumn("_u", u)
     odds = (F.col("_u") / (F.lit(1.0) - F.col("_u"))) / (F.col("_p") / (F.lit(1.0) - F.col("_p")))
-    ranked = ranked.withColumn("_q", F.when(F.col("_p") > 0, odds)).withColumn("_z", F.col("_q") / (F.lit(1.0) + F.col("_q")))
-    ranked = ranked.withColumn("_b", F.floor(F.col("_z") * BINS)).withColumn("_f", F.floor(F.col("_z") * (BINS * BINS)))
+    rows = rows.withColumn("_u", u).withColumn("_q", F.when(F.col("_p") > 0, odds)).withColumn("_z", F.col("_q") / (F.lit(1.0) + F.col("_q")))
+    return rows.withColumn("_b", F.floor(F.col("_z") * BINS)).withColumn("_f", F.floor(F.col("_z") * (BINS * BINS)))
+
 
-    may = ranked.where("_q is not null").withColumn("_zero", F.lit(0))
+def _copied(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, weight_col: str | None) -> DataFrame:
+    """docs with size, source_size, target and copies. Only narrow rows are shuffled, but for those in the bins at the border."""
+    wide = _sized(docs, weight_col)
+    sizes = stored(wide.select("doc_id", "_source", "size", "_own", "_s"))
+    targets = source_targets(sizes, list(weights), share, cap).drop("_source")
+    means = sizes.groupBy("_s").agg((F.sum(F.col("_own") * F.col("size")) / F.sum("size")).alias("_mean")) if weight_col else None
+    targets = targets.join(means, "_s") if weight_col else targets.withColumn("_mean", F.lit(None).cast("double"))
+    targets = stored(targets)
+    certain = _rated(sizes, targets, cap).groupBy("_s").agg(F.sum(F.col("_whole") * F.col("size")).alias("_certain"))
+    targets = stored(targets.join(certain, "_s").withColumn("_left", F.col("target") - F.col("_certain")).drop("_certain"))
+
+    may = _ranked(_rated(sizes, targets, cap)).where("_q is not null").withColumn("_zero", F.lit(0))
     first = stored(_border(may, "_b", "_zero"))
     inside = may.join(first, "_s").where("_b = _at_b")
+    # Sources without a border (all of their documents are taken) have no row here.
     second = stored(_border(inside, "_f", "_before_b"))
-    # Sources without a border (all of their documents are taken) have no row in second.
-    ranked = ranked.join(second, "_s", "left")
+    rows = _ranked(_rated(wide, targets, cap)).join(second, "_s", "left")
     at_border = F.coalesce(F.col("_f") == F.col("_at_f"), F.lit(False))
-    sure = ranked.where(~at_border).withColumn("_more", F.when(F.col("_q").isNull(), F.lit(0)).when(F.col("_at_f").isNull() | (F.col("_f") < F.col("_at_f")), F.lit(1)).otherwise(F.lit(0)))
+    sure = rows.where(~at_border).withColumn("_more", F.when(F.col("_q").isNull(), F.lit(0)).when(F.col("_at_f").isNull() | (F.col("_f") < F.col("_at_f")), F.lit(1)).otherwise(F.lit(0)))
     upto = F.sum("size").over(Window.partitionBy("_s").orderBy("_q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     middle = F.col("_before_f") + upto - F.col("size") / F.lit(2.0)
-    border = ranked.where(at_border).withColumn("_more", F.when(middle <= F.col("_left"), F.lit(1)).otherwise(F.lit(0)))
-    copies = (F.col("_whole") + F.col("_more")).cast("long")
-    return sure.unionByName(border).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    border = rows.where(at_border).withColumn("_more", F.when(middle <= F.col("_left"), F.lit(1)).otherwise(F.lit(0)))
+    return sure.unionByName(border).withColumn("copies", (F.col("_whole") + F.col("_more")).cast("long"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, weight_col: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for every row of docs."""
+    named = docs.select("doc_id", "text", "source", *([weight_col] if weight_col else []))
+    out = _copied(named, weights, share, cap, weight_col)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of docs as often as the mix takes them."""
+    # Own columns travel in one struct, so that their names cannot clash.
+    named = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    out = _copied(named, weights, share, cap, None).where("copies > 0")
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 ORACLE = r"""

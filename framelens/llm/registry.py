@@ -50,8 +50,14 @@ def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.remove_seen_windows(read_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_sequences, op2_suffix_array, op3_spot_signatures, op4_mix_sources, op5_factorisation_machine, op6_secret_scan, op7_lsh_forest, op8_toxicity, op9_robust_outliers, op10_super_kmers)}
+    return {f.__name__: f for f in (op1_pack_sequences, op2_suffix_array, op3_spot_signatures, op4_mix_sources, op5_factorisation_machine, op6_secret_scan, op7_lsh_forest, op8_toxicity, op9_robust_outliers, op10_super_kmers, pipeline)}
 
 
 def oracle_sql() -> dict:
