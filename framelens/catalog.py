@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from framelens.plans import learning, relations, statistics  # noqa: F401  registering
+from framelens.plans.learning import flagship  # noqa: F401
+from framelens.plans.registered import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)

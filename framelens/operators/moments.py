@@ -78,7 +78,7 @@ def component_separability(df: DataFrame, target: str, features: str = "features
 def _arrays(stats: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Statistics by position as one row of arrays, as wide as a frame."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", *columns)))
-    return stats.agg(ordered.alias("_s")).select(*[F.transform("_s", lambda s, c=c: s[c]).alias(f"_{c}") for c in columns])
+    return stats.agg(ordered.alias("_s")).select(*[F.col(f"_s.{c}").alias(f"_{c}") for c in columns])
 
 
 def _scaled(df: DataFrame, stats: DataFrame, features: str, shift: Column, scale: Column) -> DataFrame:
