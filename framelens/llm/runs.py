@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from framelens.llm.common import stored
 
 #: Different runs of a minimiser beyond which its windows are compared one by one by digest.
-HOT = 512
+HOT = 8192
 #: Units that a scan or a bucket works on at once.
 CHUNK = 1 << 18
-BUCKET_BYTES = 1 << 24
+BUCKET_BYTES = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = np.uint64((1 << 31) - 1)
 RUNS = "_rid long, doc_id long, start int, n int, at int, key long, rh long"
@@ -192,7 +192,7 @@ def marks(found: DataFrame, kept: DataFrame, weigh: Column, full: Column, single
     dealt = cold.repartitionByRange(parts, *by) if by != ["key"] else cold.repartition(parts, "key")
     compared = dealt.sortWithinPartitions(*by).select("key", "rh", "n", "w", "data").mapInPandas(bucket, "key long, rh long, bits binary")
     ones = sent.where("idx >= 0")
-    same = ones.groupBy("h1", "h2").agg(F.sum("w").alias("total"), F.min("w").alias("least"))
+    same = ones.groupBy("h1", "h2").agg(F.sum("w").alias("total"), F.min("w").alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1")
     hits = ones.join(same, ["h1", "h2"]).where(joined).groupBy("key", "rh").agg(F.first("n").alias("n"), F.collect_list("idx").alias("hits"))
 
     @F.pandas_udf("binary")
