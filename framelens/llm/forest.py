@@ -219,7 +219,8 @@ def _classes(own: DataFrame) -> DataFrame:
     reps = stored(worded.dropDuplicates(["_rid"]).join(sets.select("rep", "copies"), F.col("_rid") == F.col("rep"), "inner").select("rep", "copies", "labels", "sketch"))
 
     entries = reps.select("rep", F.explode("labels").alias("label"))
-    shared = entries.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Stored, so that the join's two sides are plain exchanges and a hot prefix can be split.
+    shared = stored(entries.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     met = entries.join(shared, "label").join(reps.select("rep", "sketch"), "rep")
     parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = _blocks(met, "label", "size").select("label", "x", "y", "side", "rep", "sketch").repartition(parts, "label", "x", "y").sortWithinPartitions("label", "x", "y", "rep")

@@ -131,7 +131,8 @@ def repeated(runs: DataFrame, across: bool) -> DataFrame:
     """Runs whose minimiser repeats (across: in different documents), with multi (several different runs have it) and lo (the least document)."""
     keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rh").alias("a"), F.max("rh").alias("b"), *([F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")] if across else []))
     keys = keys.where("lo < hi" if across else "c > 1").select("key", (F.col("a") != F.col("b")).alias("multi"), *(["lo"] if across else []))
-    return stored(runs.join(keys, "key"))
+    # Stored, so that the join's two sides are plain exchanges and a hot minimiser's can be split.
+    return stored(runs.join(stored(keys), "key"))
 
 
 def window_digests(codes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
