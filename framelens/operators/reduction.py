@@ -106,7 +106,8 @@ def project(df: DataFrame, matrix: np.ndarray, shift: np.ndarray | None = None,
     def apply(x: pd.Series) -> pd.Series:
         return pd.Series(list((np.stack(x.to_numpy()).astype(float) - shift) @ matrix)) if len(x) else pd.Series([], dtype=object)
 
-    return df.withColumn(out, apply(features)).drop(features)
+    done = df.withColumn(out, apply(features))
+    return done if out == features else done.drop(features)
 
 
 def _descending(values: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
