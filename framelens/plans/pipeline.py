@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from framelens.functions.features import gather
 from framelens.operators import amino as A
+from framelens.operators import clustering as K
 from framelens.operators import contingency as C
 from framelens.operators import moments as M
 from framelens.operators import reduction as R
@@ -85,6 +86,35 @@ def parameter_rows(parameters: Parameters) -> list[tuple[str, str, str]]:
     return [(k, str(v), HELP.get(k, "")) for k, v in asdict(parameters).items()]
 
 
+def assigned(df: DataFrame, how: str, parts: Sequence[str] = ("construct", "subconstruct"), key: Sequence[str] = ("construct", "subconstruct", "replica"), order: Sequence[str] = ("frame_number",), features: str = "features", **options) -> DataFrame:
+    """df with class: the joined metadata, or the state that a clustering gives each frame."""
+    if how == "metadata":
+        return df.withColumn("class", F.concat_ws("_", *parts))
+    if how == "gmm":
+        out = K.mixture_states(df, [*key, *order], features, **options)[0]
+    elif how == "spectral":
+        out = K.spectral_states(df, [*key, *order], features, **options)
+    elif how == "tica":
+        out = K.time_lagged_states(df, key, order, features, **options)
+    else:
+        raise ValueError(f"unknown class assignment {how!r}: one of metadata, gmm, spectral, tica")
+    return out.withColumn("class", F.concat(F.lit("cluster_"), F.col("global_cluster_id").cast("string")))
+
+
+def run_summary(results: Sequence[Result], target: str) -> DataFrame:
+    """pipeline, samples, features, classes, components: one row per result."""
+    rows = []
+    for r in results:
+        counts = T.class_summary(r.data, target)
+        rows.append(counts.select(F.lit(r.name).alias("pipeline"), F.col("rows").alias("samples"), F.lit(len(r.selected)).alias("features"), "classes", F.lit(r.components).alias("components")))
+    return T.unioned(rows)
+
+
+def selected_union(results: Sequence[Result]) -> list[int]:
+    """Features that any result selected, in the order of the configurations."""
+    return list(dict.fromkeys(p for r in results for p in r.selected))
+
+
 def variance_filtered(df: DataFrame, features: str, p: Parameters) -> tuple[DataFrame, list[int]]:
     """df with the features that vary enough, and their positions."""
     stats = H.without_insane(M.variances(df, features).select("pos", "variance"), "variance")

@@ -166,6 +166,8 @@ def test_pipeline_runs_the_grid(data, tmp_path):
     results = pipeline.run(df, "class", configs=[("fisher_amino", "pca"), ("mpso", "flda")], parameters=p, filter_variance=False)
     board = pipeline.leaderboard(results, "class").collect()
     assert [r["rank"] for r in sorted(board, key=lambda r: -r["separability"])] == [1, 2] and abs(sum(r["share"] for r in board) - 1) < 1e-9
+    assert pipeline.run_summary(results, "class").where("samples = 300 and classes = 3").count() == 2
+    assert set(results[0].selected) <= set(pipeline.selected_union(results))
     pipeline.save(results, str(tmp_path / "out"))
     assert df.sparkSession.read.parquet(str(tmp_path / "out" / results[0].name / "data")).count() == 300
     step = lambda: pipeline.checkpointed(df, str(tmp_path / "cp"), "scaled", p, M.standard_scaled)
@@ -181,3 +183,15 @@ def test_wide_views(spark):
     assert to_wide(gather(array, [1]), ["g"]).first()["g"] == 3.0
     points = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 3.0, 4.0)], "frame int, m int, x double, y double")
     assert pairwise_distances(points, ["frame"], "m", ["x", "y"]).first()["distance"] == 5.0
+
+
+def test_class_assignment(spark):
+    rng = np.random.default_rng(6)
+    rows = [("A" if i < 60 else "B", "x", "1", i % 60, [float(v) for v in rng.normal(0, 0.2, 3) + (3 if i % 60 < 30 else 0)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "construct string, subconstruct string, replica string, frame_number long, features array<double>")
+    assert {r["class"] for r in pipeline.assigned(df, "metadata").collect()} == {"A_x", "B_x"}
+    for how, options in (("gmm", {"max_k": 3, "stride": 1, "steps": 2}), ("spectral", {"components": 20, "max_k": 3}), ("tica", {"lag": 2, "max_k": 3})):
+        out = pipeline.assigned(df, how, **options)
+        assert out.where("class like 'cluster_%'").count() == 120
+    with pytest.raises(ValueError):
+        pipeline.assigned(df, "none")
