@@ -120,6 +120,8 @@ def chunks(sizes: list[int]) -> Iterator[slice]:
 
 def identified(docs: DataFrame) -> DataFrame:
     """_rid, doc_id (as long, null as the least number), given (the id as it was), text (null as empty)."""
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("doc_id must be an integer column")
     given = F.col("doc_id")
     twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     text = F.coalesce(F.col("text"), F.lit(""))
