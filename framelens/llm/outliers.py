@@ -39,9 +39,9 @@ SMALL = 60
 #: Median of the chi-squared distribution with six degrees of freedom.
 CHI2_MEDIAN = 5.348
 #: Squared robust distance beyond which a document is rejected.
-CUTOFF = 60.0
+CUTOFF = 40.0
 #: Least standard deviation of each statistic, in thousandths.
-FLOORS = (400.0, 60.0, 250.0, 250.0, 250.0, 150.0)
+FLOORS = (400.0, 60.0, 250.0, 400.0, 400.0, 250.0)
 STATS = [f"_x{i}" for i in range(len(FLOORS))]
 BINS_PER_E, LOW_BIN, HIGH_BIN = 8, -80, 160
 
@@ -76,13 +76,14 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 def _transformed() -> list[Column]:
     """The statistics as whole thousandths, on scales where ordinary texts are near symmetric."""
     n, chars = F.col("n_words"), F.col("word_chars")
-    share = lambda part, whole, least: F.log1p(100 * part / (whole + least))
+    share = lambda part, whole, least, times=100: F.log1p(times * part / (whole + least))
     values = [
         F.log1p(n),
         F.log((chars + 120) / (n + 20)),
         share(F.col("n_symbols"), chars, 100),
-        share(F.col("n_dup_lines"), F.col("_n_lines"), 10),
-        share(F.col("n_repeat_words"), n, 50),
+        # Ordinary texts repeat a heading now and then: small shares of repeats stay small.
+        share(F.col("n_dup_lines"), F.col("_n_lines"), 10, 10),
+        share(F.col("n_repeat_words"), n, 50, 10),
         share(F.col("_n_upper"), chars, 200),
     ]
     return [F.round(v * 1000).cast("long").alias(x) for v, x in zip(values, STATS, strict=True)]
