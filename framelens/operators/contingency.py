@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions.features import to_long
@@ -31,10 +31,10 @@ def chi_squared(df: DataFrame, target: str, features: str = "features", bins: in
     long = to_long(df, features, [target])
     edges = quantile_edges(long, bins).where(F.size("edges") > 1)
     observed = binned(long, edges).where("bin is not null").groupBy("pos", "bin", target).agg(F.count(F.lit(1)).alias("o"))
-    rows = observed.groupBy("pos", "bin").agg(F.sum("o").alias("r"))
-    columns = observed.groupBy("pos", target).agg(F.sum("o").alias("c"))
-    total = observed.groupBy("pos").agg(F.sum("o").alias("t"))
-    # Features have few bins and classes: the grid is as large as the marginals allow.
-    grid = rows.join(columns, "pos").join(total, "pos").join(observed, ["pos", "bin", target], "left")
-    expected = F.col("r") * F.col("c") / F.col("t")
-    return grid.groupBy("pos").agg(F.sum(F.pow(F.coalesce("o", F.lit(0)) - expected, 2) / expected).alias("score"))
+    # Dealt by feature once, so that the marginals need no further exchange; a feature has few bins and classes.
+    observed = observed.repartition("pos")
+    total = lambda *by: F.sum("o").over(Window.partitionBy(*by))
+    cells = observed.withColumn("r", total("pos", "bin")).withColumn("c", total("pos", target)).withColumn("t", total("pos"))
+    # Over the whole grid the expected counts add up to t, and so do the observed ones: the sum of
+    # (o - e)^2 / e is that of o^2 / e, less t, to which empty cells add nothing.
+    return cells.groupBy("pos").agg(F.greatest(F.sum(F.col("o") * F.col("o") * F.col("t") / (F.col("r") * F.col("c"))) - F.first("t"), F.lit(0.0)).alias("score"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,12 @@ class Scatter:
         return np.where(squares > 0, np.sqrt(np.maximum(squares, 0)), 1.0)
 
 
+def rows_of(column: pa.Array) -> np.ndarray:
+    """Lists of equal length as the rows of a matrix of doubles, without a Python object per row; null becomes NaN."""
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
 def scatter(df: DataFrame, target: str, features: str = "features") -> Scatter:
     """Class counts, means and scatters; rows without a class are left out."""
     df = df.where(F.col(target).isNotNull()).select(target, F.col(features).alias("x"))
@@ -74,19 +81,22 @@ def scatter(df: DataFrame, target: str, features: str = "features") -> Scatter:
         n[c], means[c, r["pos"]] = max(n[c], r["n"]), r["mean"] if r["mean"] is not None else 0.0
     number = {c: i for i, c in enumerate(classes)}
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(classes), width, width))
         for batch in batches:
-            own = batch[target].map(number).to_numpy()
-            x = np.stack(batch["x"].to_numpy()).astype(float)
+            if not batch.num_rows:
+                continue
+            own = np.array([number[c] for c in batch.column(0).to_pylist()])
+            x = rows_of(batch.column(1))
             x = np.nan_to_num(x - means[own])
             for c in np.unique(own):
                 part = x[own == c]
                 sums[c] += part.T @ part
         c, i, j = np.nonzero(sums)
-        yield pd.DataFrame({"c": c.astype(np.int32), "i": i.astype(np.int32), "j": j.astype(np.int32), "v": sums[c, i, j]})
+        values = [pa.array(v.astype(np.int32)) for v in (c, i, j)]
+        yield pa.RecordBatch.from_arrays([*values, pa.array(sums[c, i, j])], ["c", "i", "j", "v"])
 
-    rows = df.mapInPandas(partial, "c int, i int, j int, v double").groupBy("c", "i", "j").agg(F.sum("v").alias("v")).toPandas()
+    rows = df.where("x is not null").mapInArrow(partial, "c int, i int, j int, v double").groupBy("c", "i", "j").agg(F.sum("v").alias("v")).toPandas()
     scatters = np.zeros((len(classes), width, width))
     scatters[rows["c"], rows["i"], rows["j"]] = rows["v"]
     return Scatter(classes, n, means, scatters)
