@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-#: Columns that describe a frame and are never features.
+#: Columns that describe a frame and are never features.
 METADATA = ("construct", "subconstruct", "replica", "frame_number", "time", "class", "global_cluster_id", "ground_truth")
 #: What identifies a frame.
 KEY = ("construct", "subconstruct", "replica", "frame_number")
+#: Fixed value: the form of a pair's name.
 PAIR_NAME = r"(?i)^RES(\d+)_(\d+)"
 
 

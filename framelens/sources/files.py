@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: The layout of file names, and the names of files beside them.
 PATH = r"([^/]+)/([^/]+)/([^/]+)_s(\d+)[^/]*\.(h5|npy)$"
+RESIDUES = ("canonical_resids.npy", "canonical_resid.npy")
+TIMES = "time.npy"
 SCHEMA = "construct string, subconstruct string, replica string, frame_number long, time double, features array<float>"
 
 
@@ -116,14 +119,14 @@ class FrameReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays(columns, ["construct", "subconstruct", "replica", "frame_number", "time", "features"])
 
     def _times(self, path: str, offset: int) -> np.ndarray | None:
-        """The segment's share of time.npy beside it, if there is one."""
-        beside = Path(path).parent / "time.npy"
+        """The segment's share of the times beside it, if there are any."""
+        beside = Path(path).parent / TIMES
         return np.load(beside, mmap_mode="r")[offset:] if beside.exists() else None
 
 
 def residues(base: str) -> np.ndarray | None:
-    """Residue ids from the first canonical_resids.npy (or canonical_resid.npy) below base."""
-    for name in ("canonical_resids.npy", "canonical_resid.npy"):
+    """Residue ids from the first file of that name below base."""
+    for name in RESIDUES:
         for path in sorted(Path(base).rglob(name)):
             return np.load(path).astype(int)
     return None
