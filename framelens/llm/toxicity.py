@@ -31,11 +31,13 @@ SIZES = (4, 5, 6)
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Labelled rows of each label that the linear model is fitted on, at most.
-MAX_FIT = 4000
+MAX_FIT = 3000
 #: Labelled rows of each label that the log-count ratios are taken from, at most.
 MAX_COUNT = 12_000
 #: Features whose shares in toxic and clean rows differ by fewer standard errors get the ratio 0.
 LEAST_Z = 2.5
+#: Features that keep a ratio other than 0, at most: those that differ by the most standard errors.
+MAX_FEATURES = 6000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 
@@ -144,7 +146,10 @@ def log_count_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic
     q = (clean + smoothing) / (n_clean + 2 * smoothing)
     pooled = (clean + toxic + 1.0) / (n_clean + n_toxic + 2.0)
     z = (toxic / n_toxic - clean / n_clean) / np.sqrt(pooled * (1 - pooled) * (1 / n_clean + 1 / n_toxic))
-    return np.where(np.abs(z) >= least_z, np.log(p / q), 0.0)
+    keep = np.abs(z) >= least_z
+    strongest = np.lexsort((np.arange(len(z)), -np.abs(z)))[:MAX_FEATURES]
+    keep &= np.isin(np.arange(len(z)), strongest)
+    return np.where(keep, np.log(p / q), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_count: int = MAX_COUNT) -> Model:
@@ -156,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_count: i
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not clean or not toxic:
         return Model(np.zeros(1 << BITS), 30.0 if toxic else -30.0)
-    counted = labelled.mapInPandas(_count, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # at most 2**BITS rows
+    counted = labelled.mapInPandas(_count, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = counted.toPandas().sort_values("feature")  # at most 2**BITS rows
     ratios = np.zeros(1 << BITS)
     ratios[counted["feature"].to_numpy()] = log_count_ratios(counted["clean"].to_numpy(), counted["toxic"].to_numpy(), clean, toxic)
     keep = labelled.sparkSession.sparkContext.broadcast(ratios != 0)  # 2**BITS flags
