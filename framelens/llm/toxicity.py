@@ -76,7 +76,7 @@ def features(texts: list[str | None], keep: np.ndarray | None = None) -> tuple[n
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def chunks(texts: list, most: int = 1 << 21) -> Iterator[slice]:
+def chunks(texts: list, most: int = 1 << 19) -> Iterator[slice]:
     """Slices of texts of about most characters, so that one pass over them stays small."""
     start = size = 0
     for k, t in enumerate(texts):
