@@ -1,9 +1,9 @@
 """Clustering of features by mutual information.
 
 The distance of two features is 1 - I/H of their joint density, estimated on a grid with a
-radial Epanechnikov kernel from a bounded sample of frames (``sample_rows``). Pairs are rows
-of a DataFrame: the sample, features by frames, is sent to the tasks, so pairs of any number
-are spread. The matrix of distances between candidates comes to the driver for k-medoids.
+radial Epanechnikov kernel from all frames (``sample_rows`` of them where a caller asks for
+it): tasks add the kernels of their frames to the grids of a group of pairs, and the grids
+are summed by pair and cell. The matrix of distances between candidates comes to the driver for k-medoids.
 """
 
 from __future__ import annotations
@@ -15,9 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 2000
+from framelens.functions.features import to_long
+from framelens.operators.selection import drawn
+
 MAX_BINS = 50
 ROUNDS = 100
+#: Grid cells that a task adds to, at most.
+CELLS = 1 << 20
 
 
 def normalised(values: np.ndarray) -> np.ndarray:
@@ -54,18 +58,18 @@ def information_distance(p: np.ndarray) -> float:
     return float(max(0.0, 1 - (p[on] * np.log(p[on] / outer[on])).sum() / h))
 
 
-def sampled_trajectories(df: DataFrame, features: str = "features", rows: int = SAMPLE_ROWS, seed: int = 42) -> np.ndarray:
-    """Features by frames, normalised, of at most rows frames chosen by digest."""
-    x = df.select(F.col(features).cast("array<double>").alias("x")).orderBy(F.xxhash64(F.lit(seed), "x"), "x").limit(rows).toPandas()["x"]
+def sampled_trajectories(df: DataFrame, features: str = "features", rows: int | None = None, seed: int = 42) -> np.ndarray:
+    """Features by frames, normalised, on the driver: for tables that fit there."""
+    x = drawn(df.select(F.col(features).cast("array<double>").alias("x")), rows, "x", seed=seed).toPandas()["x"]
     return normalised(np.nan_to_num(np.stack(x.to_numpy()).T)) if len(x) else np.zeros((0, 0))
 
 
 def pair_distances(spark: SparkSession, trajectories: np.ndarray, bins: int | None = 20) -> DataFrame:
-    """i, j, distance for all i <= j."""
+    """i, j, distance for all i <= j of trajectories on the driver."""
     count, n = trajectories.shape
     grid = min(bins or int(np.ceil(np.sqrt(n))), MAX_BINS)
     width = bandwidth(n)
-    shared = spark.sparkContext.broadcast(trajectories)  # candidates by sample_rows numbers
+    shared = spark.sparkContext.broadcast(trajectories)  # as large as the caller made it
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
@@ -76,6 +80,65 @@ def pair_distances(spark: SparkSession, trajectories: np.ndarray, bins: int | No
     return pairs.repartition(spark.sparkContext.defaultParallelism * 2).mapInPandas(measure, "i int, j int, distance double")
 
 
+def _reach(v: np.ndarray, low: float, high: float, bins: int, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """The grid points within width of each value: their numbers, and 1 less the squared distances in widths (points by frames)."""
+    gap = (high - low) / (bins - 1) if bins > 1 else 0.0
+    most = bins if gap <= 0 else min(bins, int(2 * width / gap) + 2)
+    first = np.zeros(len(v), np.int64) if most == bins else np.clip(np.ceil((v - width - low) / gap), 0, bins - 1).astype(np.int64)
+    at = first + np.arange(most)[:, None]
+    return np.minimum(at, bins - 1), np.where(at < bins, 1 - ((low + at * gap - v) / width) ** 2, -np.inf)
+
+
+def frame_distances(df: DataFrame, features: str = "features", bins: int | None = 20, sample_rows: int | None = None, seed: int = 42) -> tuple[DataFrame | None, int]:
+    """(i, j, distance for all i <= j over all frames, number of features); None without frames."""
+    value = lambda v: F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v)
+    frames = df.where(F.col(features).isNotNull()).select(F.transform(F.col(features).cast("array<double>"), value).alias("x"))
+    frames = drawn(frames, sample_rows, "x", seed=seed)
+    stats = to_long(frames, "x").groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("x").alias("s"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("pos").toPandas()  # one row per feature
+    if not len(stats):
+        return None, 0
+    n, spread = int(stats["n"].max()), stats["s"].to_numpy(float)
+    scale = np.where(spread > 1e-12, 1 / np.where(spread > 1e-12, spread, 1.0), 0.0)
+    low, high = stats["low"].to_numpy(float) * scale, stats["high"].to_numpy(float) * scale
+    grid, width = min(bins or int(np.ceil(np.sqrt(n))), MAX_BINS), bandwidth(n)
+    first, second = np.triu_indices(len(scale))
+    size = max(1, CELLS // grid**2)
+
+    def summed(pairs: range):
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros((len(pairs), grid * grid))
+            used = np.unique(np.concatenate([first[pairs], second[pairs]]))
+            for batch in batches:
+                for start in range(0, len(batch), 1024):
+                    x = np.stack(batch["x"].iloc[start : start + 1024].to_numpy()).T * scale[:, None]
+                    near = {f: _reach(x[f], low[f], high[f], grid, width) for f in used}
+                    for k, p in enumerate(pairs):
+                        (ia, a), (ib, b) = near[first[p]], near[second[p]]
+                        cells = (ia * grid)[:, None] + ib
+                        out[k] += np.bincount(cells.ravel(), np.maximum(0.0, a[:, None] + b - 1).ravel(), grid * grid)
+            keep = out > 0
+            keep[:, 0] = True  # a pair without density has a row too
+            k, cell = np.nonzero(keep)
+            for at in range(0, len(k), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pd.DataFrame({"pair": k[part] + pairs.start, "cell": cell[part].astype(np.int32), "v": out[k[part], cell[part]]})
+
+        return frames.mapInPandas(sums, "pair long, cell int, v double")
+
+    def measure(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p = np.zeros(grid * grid)
+        p[rows["cell"]] = rows["v"]
+        p = p / p.sum() if p.sum() > 0 else np.full(grid * grid, 1 / grid**2)
+        return pd.DataFrame({"i": [first[key[0]]], "j": [second[key[0]]], "distance": [information_distance(p.reshape(grid, grid))]})
+
+    parts = [summed(range(at, min(at + size, len(first)))) for at in range(0, len(first), size)]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionAll(part)
+    total = rows.groupBy("pair", "cell").agg(F.sum("v").alias("v"))
+    return total.groupBy("pair").applyInPandas(measure, "i int, j int, distance double"), len(scale)
+
+
 def distance_matrix(pairs: DataFrame, count: int) -> np.ndarray:
     rows = pairs.toPandas()  # candidates squared
     out = np.zeros((count, count))
@@ -139,9 +202,7 @@ def clustered(d: np.ndarray, max_outputs: int | None = None) -> list[int]:
     return found[best_count([found[k][1] for k in range(1, most + 1)])][0]
 
 
-def select_features(df: DataFrame, features: str = "features", max_outputs: int | None = None, bins: int | None = 20, sample_rows: int = SAMPLE_ROWS) -> list[int]:
+def select_features(df: DataFrame, features: str = "features", max_outputs: int | None = None, bins: int | None = 20, sample_rows: int | None = None) -> list[int]:
     """Positions of features that stand for clusters of features."""
-    t = sampled_trajectories(df, features, sample_rows)
-    if not len(t):
-        return []
-    return clustered(distance_matrix(pair_distances(df.sparkSession, t, bins), len(t)), max_outputs)
+    pairs, count = frame_distances(df, features, bins, sample_rows)
+    return clustered(distance_matrix(pairs, count), max_outputs) if pairs is not None else []

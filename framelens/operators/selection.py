@@ -1,17 +1,19 @@
 """Supervised feature selection: greedy relevance over redundancy, and two particle swarms.
 
-Scores and correlations are aggregated by Spark over all rows. A swarm's fitness is that of
-small linear classifiers, cross-validated on a bounded sample of frames (``sample_rows``);
-the particles of an iteration are rows of a DataFrame, so a swarm is evaluated in parallel.
+Scores, correlations and the fitness of a swarm are aggregated by Spark over all rows (of
+``sample_rows`` frames only where a caller asks for it). The fitness is that of small linear
+classifiers in cross-validation: every Newton step of all classifiers of all particles is one
+pass of partial sums over blocks of frames, and so is the count of frames they get right.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions.features import gather
@@ -19,7 +21,13 @@ from framelens.operators import moments as M
 from framelens.operators.reduction import correlation, scatter
 from framelens.operators.thresholds import knee
 
-SAMPLE_ROWS = 2000
+#: Frames of a block.
+BLOCK = 2000
+#: Parts that a class is dealt to folds in.
+BUCKETS = 1024
+NEWTON_STEPS = 12
+#: Chances of at most 0, 1, ... draws of a frame in a bootstrap.
+_DRAWS = np.cumsum([0.36787944117144233 / np.prod(np.arange(1.0, k + 1)) for k in range(16)])
 
 
 def relevance_order(relevance: np.ndarray, correlated: np.ndarray, count: int) -> list[int]:
@@ -38,15 +46,6 @@ def relevance_order(relevance: np.ndarray, correlated: np.ndarray, count: int) -
     return chosen
 
 
-def sampled(df: DataFrame, target: str, features: str, rows: int = SAMPLE_ROWS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Features and class numbers of at most rows frames, chosen by digest and so the same each time."""
-    chosen = df.where(F.col(target).isNotNull()).select(target, F.col(features).cast("array<double>").alias("x"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "x", target), "x").limit(rows).toPandas()
-    if not len(chosen):
-        return np.zeros((0, 0)), np.zeros(0, int)
-    return np.nan_to_num(np.stack(chosen["x"].to_numpy())), np.unique(chosen[target].to_numpy(), return_inverse=True)[1]
-
-
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 12) -> np.ndarray:
     """Weights (the last is the offset) of a linear classifier with squared hinge loss, y in -1, 1; by Newton steps."""
     z = np.column_stack([x, np.ones(len(x))])
@@ -99,7 +98,11 @@ def binary_fitness(position: np.ndarray, x: np.ndarray, y: np.ndarray, alpha: fl
     mask = position > threshold
     if not mask.any() or not len(y) or np.bincount(y).min() < 2:
         return 1.0
-    return alpha * (1 - accuracy(x[:, mask], y, cv)) + (1 - alpha) * mask.sum() / len(mask)
+    return binary_loss(accuracy(x[:, mask], y, cv), mask, alpha)
+
+
+def binary_loss(right: float, mask: np.ndarray, alpha: float) -> float:
+    return alpha * (1 - right) + (1 - alpha) * mask.sum() / len(mask)
 
 
 def mean_projection(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -112,12 +115,16 @@ def projection_fitness(position: np.ndarray, x: np.ndarray, y: np.ndarray, dimen
     if (chosen.sum(0) == 0).any() or not len(y) or np.bincount(y).min() < 2:
         return 1.0
     z = mean_projection(x, chosen)
-    loss = alpha * (1 - accuracy(z, y, cv, bags)) + (1 - alpha) * chosen.mean()
-    redundancy = 0.0
-    if dimensions > 1:
-        with np.errstate(invalid="ignore", divide="ignore"):
-            r = np.nan_to_num(np.corrcoef(z.T))
-        redundancy = ((r * r).sum() - dimensions) / (dimensions * (dimensions - 1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.nan_to_num(np.atleast_2d(np.corrcoef(z.T)))
+    return projection_loss(accuracy(z, y, cv, bags), chosen, r, alpha, weight)
+
+
+def projection_loss(right: float, chosen: np.ndarray, r: np.ndarray, alpha: float, weight: float) -> float:
+    """r: the correlations of the dimensions."""
+    dimensions = chosen.shape[1]
+    loss = alpha * (1 - right) + (1 - alpha) * chosen.mean()
+    redundancy = ((r * r).sum() - dimensions) / (dimensions * (dimensions - 1)) if dimensions > 1 else 0.0
     overlap = (chosen.sum(1) > 1).sum() / chosen.size
     return float(np.clip((1 - weight) * loss + weight * (0.7 * redundancy + 0.3 * overlap), 0, 1))
 
@@ -138,27 +145,203 @@ def swarm(evaluate: Callable[[np.ndarray], np.ndarray], size: int, particles: in
     return own[value.argmin()], float(value.min())
 
 
-def evaluated(spark: SparkSession, fitness: Callable[[np.ndarray], float], threshold: float = 0.5) -> Callable[[np.ndarray], np.ndarray]:
-    """Evaluates a swarm as a DataFrame, each different mask once."""
+@dataclass
+class Frames:
+    """All frames of a selection in blocks, each with its class and its fold; classes are dealt evenly to folds."""
+
+    blocks: DataFrame
+    sizes: np.ndarray
+    width: int
+    classes: int
+    total: np.ndarray
+
+    @property
+    def folds(self) -> int:
+        return len(self.sizes)
+
+    def accuracies(self, views: list[np.ndarray], bags: int = 0, c: float = 1.0) -> np.ndarray:
+        """Mean cross-validated accuracy of one-against-rest classifiers on the frames times each view (width by dimensions)."""
+        if self.folds < 2:
+            return np.zeros(len(views))
+        shape = (self.folds, max(bags, 1), self.classes)
+        weights = [np.zeros((*shape, v.shape[1] + 1)) for v in views]
+        on = [np.ones(shape, bool) for _ in views]
+        for _ in range(NEWTON_STEPS):
+            rows = self.blocks.mapInPandas(_newton_sums(views, weights, on, bags), "view int, sums binary")
+            steps = rows.groupBy("view").applyInPandas(_newton_step(weights, on, self.sizes, c), "view int, weights binary, active binary").collect()
+            for r in steps:
+                weights[r["view"]] = np.frombuffer(r["weights"]).reshape(weights[r["view"]].shape)
+                on[r["view"]] = np.frombuffer(r["active"], bool).reshape(shape)
+            if not any(x.any() for x in on):
+                break
+        hits = self.blocks.mapInPandas(_hits(views, weights), "view int, fold int, hits long").groupBy("view", "fold").agg(F.sum("hits").alias("hits")).toPandas()
+        out = np.zeros((len(views), self.folds))
+        out[hits["view"], hits["fold"]] = hits["hits"]
+        return (out / self.sizes).mean(1)
+
+
+def _unpacked(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
+    for x, y, fold, row in zip(batch["x"], batch["y"], batch["fold"], batch["row"], strict=True):
+        y = np.frombuffer(y, np.int32)
+        yield np.frombuffer(x).reshape(len(y), -1), y, np.frombuffer(fold, np.int32), np.frombuffer(row, np.uint64)
+
+
+def _offset(x: np.ndarray, view: np.ndarray) -> np.ndarray:
+    return np.column_stack([x @ view, np.ones(len(x))])
+
+
+def draws(row: np.ndarray, number: int) -> np.ndarray:
+    """How often each frame is in bootstrap number: 0, 1, ... as drawing with replacement from many frames gives."""
+    z = row * np.uint64(0x9E3779B97F4A7C15) + np.uint64((number + 1) * 0xD1B54A32D192ED03 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    z = z ^ (z >> np.uint64(31))
+    return np.searchsorted(_DRAWS, (z >> np.uint64(11)) / 2.0**53, "right").astype(float)
+
+
+def _newton_sums(views: list[np.ndarray], weights: list[np.ndarray], on: list[np.ndarray], bags: int):
+    """Per view the sums of its classifiers still on: slope and curvature of the squared hinge loss, by fold, bag and class."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = [v for v in range(len(views)) if on[v].any()]
+        out = {v: np.zeros((int(on[v].sum()), views[v].shape[1] + 1, views[v].shape[1] + 2)) for v in left}
+        for batch in batches:
+            for x, y, fold, row in _unpacked(batch):
+                for k in range(on[0].shape[0]):
+                    train = fold != k
+                    xk, yk, rk = x[train], y[train], row[train]
+                    times = [draws(rk, k * bags + b) for b in range(bags)] or [np.ones(len(yk))]
+                    for v in left:
+                        z = _offset(xk, views[v])
+                        place = (on[v].cumsum() - 1).reshape(on[v].shape)[k]
+                        for b, c in np.argwhere(on[v][k]):
+                            sign = np.where(yk == c, 1.0, -1.0)
+                            slack = 1 - sign * (z @ weights[v][k, b, c])
+                            at = np.flatnonzero(slack > 0)
+                            active = z[at]
+                            weighed = active * times[b][at, None]
+                            total = out[v][place[b, c]]
+                            total[:, :-1] += active.T @ weighed
+                            total[:, -1] += weighed.T @ (slack[at] * sign[at])
+        yield pd.DataFrame({"view": np.array(left, np.int32), "sums": [out[v].tobytes() for v in left]})
+
+    return sums
+
+
+def _newton_step(weights: list[np.ndarray], on: list[np.ndarray], sizes: np.ndarray, penalty: float):
+    least = [1e-6 * max(1, sizes.sum() - n) for n in sizes]
+
+    def step(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        v = int(key[0])
+        w, active = weights[v].copy(), on[v].copy()
+        d = w.shape[-1]
+        sums = np.sum([np.frombuffer(r) for r in rows["sums"]], 0).reshape(-1, d, d + 1)
+        for (k, b, c), s in zip(np.argwhere(on[v]), sums, strict=True):
+            slope = w[k, b, c] - 2 * penalty * s[:, -1]
+            if np.linalg.norm(slope) < least[k]:
+                active[k, b, c] = False
+            else:
+                w[k, b, c] -= np.linalg.solve(np.eye(d) + 2 * penalty * s[:, :-1], slope)
+        return pd.DataFrame({"view": [v], "weights": [w.tobytes()], "active": [active.tobytes()]})
+
+    return step
+
+
+def _hits(views: list[np.ndarray], weights: list[np.ndarray]):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hits = np.zeros((len(views), len(weights[0])), np.int64)
+        for batch in batches:
+            for x, y, fold, _ in _unpacked(batch):
+                for k in range(hits.shape[1]):
+                    test = fold == k
+                    xk, yk = x[test], y[test]
+                    for v, view in enumerate(views):
+                        z = _offset(xk, view)
+                        votes = np.zeros((len(yk), weights[v].shape[2]))
+                        for w in weights[v][k]:
+                            votes[np.arange(len(yk)), (z @ w.T).argmax(1)] += 1
+                        hits[v, k] += (votes.argmax(1) == yk).sum()
+        v, k = np.divmod(np.arange(hits.size), hits.shape[1])
+        yield pd.DataFrame({"view": v.astype(np.int32), "fold": k.astype(np.int32), "hits": hits.ravel()})
+
+    return count
+
+
+def drawn(df: DataFrame, rows: int | None, *by: str, seed: int = 42) -> DataFrame:
+    """df, or where rows is given so many of its rows by digest."""
+    return df if rows is None else df.orderBy(F.xxhash64(F.lit(seed), *by), *by[:1]).limit(rows)
+
+
+def packed(df: DataFrame, target: str, features: str, cv: int = 3, sample_rows: int | None = None, seed: int = 42) -> Frames:
+    """The frames that have a class, in blocks that stay stored until blocks.unpersist()."""
+    value = lambda v: F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v)
+    frames = df.where(F.col(target).isNotNull() & F.col(features).isNotNull())
+    frames = frames.select(F.transform(F.col(features).cast("array<double>"), value).alias("x"), F.col(target).alias("_c"))
+    frames = drawn(frames, sample_rows, "x", "_c", seed=seed)
+    counts = sorted((r["_c"], r["count"]) for r in frames.groupBy("_c").count().collect())  # one row per class
+    n = np.array([c for _, c in counts], np.int64)
+    folds = min(cv, int(n.min())) if len(n) else 0
+    if folds < 2:
+        return Frames(frames, np.zeros(0, int), 0, len(n), np.zeros((0, 0)))
+    s = scatter(frames, "_c", "x")
+    number = F.coalesce(*[F.when(F.col("_c") == F.lit(c), F.lit(i)) for i, (c, _) in enumerate(counts)])
+    frames = frames.select("x", number.alias("y"), F.xxhash64(F.lit(seed), "x", "_c").alias("_h")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
+    before = Window.partitionBy("y").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = frames.groupBy("y", "_b").count().select("y", "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_s"))  # classes by BUCKETS rows
+    dealt = frames.join(F.broadcast(starts), ["y", "_b"]).withColumn("row", F.col("_s") + F.row_number().over(Window.partitionBy("y", "_b").orderBy("_h", "x")) - 1)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), BLOCK):
+                part = batch.iloc[start : start + BLOCK]
+                y, row = part["y"].to_numpy(np.int32), part["row"].to_numpy(np.int64)
+                own = (row * len(n) + y).astype(np.uint64)
+                yield pd.DataFrame({"x": [np.stack(part["x"].to_numpy()).astype(float).tobytes()], "y": [y.tobytes()], "fold": [(row % folds).astype(np.int32).tobytes()], "row": [own.tobytes()]})
+
+    blocks = dealt.select("x", "y", "row").mapInPandas(pack, "x binary, y binary, fold binary, row binary")
+    sizes = np.array([sum(-(-(int(c) - k) // folds) for c in n) for k in range(folds)])
+    return Frames(blocks.repartition(df.sparkSession.sparkContext.defaultParallelism).persist(), sizes, s.means.shape[1], len(n), s.within + s.between)
+
+
+def evaluated(loss: Callable[[list[np.ndarray]], np.ndarray], threshold: float = 0.5) -> Callable[[np.ndarray], np.ndarray]:
+    """Evaluates the particles of an iteration together, each different mask once."""
     known: dict[bytes, float] = {}
 
     def run(x: np.ndarray) -> np.ndarray:
         masks = [np.packbits(p > threshold).tobytes() for p in x]
-        new = {m: x[i] for i, m in enumerate(masks) if m not in known}
+        new = {m: x[i] > threshold for i, m in enumerate(masks) if m not in known}
         if new:
-
-            def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for batch in batches:
-                    yield pd.DataFrame({"mask": batch["mask"], "value": [fitness(np.asarray(p)) for p in batch["position"]]})
-
-            rows = spark.createDataFrame([(bytearray(m), p.tolist()) for m, p in new.items()], "mask binary, position array<double>")
-            parts = min(len(new), spark.sparkContext.defaultParallelism)
-            known.update({bytes(r["mask"]): r["value"] for r in rows.repartition(parts).mapInPandas(score, "mask binary, value double").collect()})
+            known.update(zip(new, loss(list(new.values())), strict=True))
         return np.array([known[m] for m in masks])
 
     return run
 
 
+def binary_losses(frames: Frames, masks: list[np.ndarray], alpha: float = 0.95) -> np.ndarray:
+    """binary_fitness of each mask over all frames."""
+    out = np.ones(len(masks))
+    some = [i for i, m in enumerate(masks) if m.any()] if frames.folds > 1 else []
+    if some:
+        right = frames.accuracies([np.eye(frames.width)[:, masks[i]] for i in some])
+        out[some] = [binary_loss(a, masks[i], alpha) for a, i in zip(right, some, strict=True)]
+    return out
+
+
+def projection_losses(frames: Frames, masks: list[np.ndarray], dimensions: int, alpha: float = 0.9, weight: float = 0.2, bags: int = 5) -> np.ndarray:
+    """projection_fitness of each mask over all frames."""
+    out = np.ones(len(masks))
+    chosen = [m.reshape(-1, dimensions).astype(float) for m in masks]
+    some = [i for i, m in enumerate(chosen) if m.sum(0).all()] if frames.folds > 1 else []
+    if some:
+        views = [chosen[i] / (chosen[i].sum(0) + 1e-12) for i in some]
+        for i, view, a in zip(some, views, frames.accuracies(views, bags), strict=True):
+            joint = view.T @ frames.total @ view
+            norm = np.sqrt(np.diag(joint))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[i] = projection_loss(a, chosen[i], np.nan_to_num(joint / np.outer(norm, norm)), alpha, weight)
+    return out
+
+
 def candidates(df: DataFrame, target: str, features: str, limit: int | None, sensitivity: float, fallback: int) -> tuple[list[int], np.ndarray]:
     """Positions of the highest Fisher scores (a number of them, or up to the knee) and the scores."""
     rows = M.ranked(M.fisher_scatter(M.class_moments(df, target, features))).orderBy("rank").collect()  # one per feature
@@ -177,24 +360,25 @@ def shortlist(df: DataFrame, target: str, features: str, limit: int | None, sens
     return [positions[i] for i in relevance_order(scores, correlation(scatter(cut, target, features)), mrmr_limit)]
 
 
-def bpso(df: DataFrame, target: str, features: str = "features", candidate_limit: int | None = 150, sensitivity: float = 2.0, mrmr_limit: int = 50, particles: int | None = None, steps: int | None = None, alpha: float = 0.95, seed: int = 42, sample_rows: int = SAMPLE_ROWS, allow_empty: bool = False) -> list[int]:
+def bpso(df: DataFrame, target: str, features: str = "features", candidate_limit: int | None = 150, sensitivity: float = 2.0, mrmr_limit: int = 50, particles: int | None = None, steps: int | None = None, alpha: float = 0.95, seed: int = 42, sample_rows: int | None = None, allow_empty: bool = False) -> list[int]:
     """Positions that the binary swarm selects."""
     short = shortlist(df, target, features, candidate_limit, sensitivity, 150, mrmr_limit)
-    x, y = sampled(gather(df, short, features), target, features, sample_rows)
     particles = particles or int(np.clip(0.3 * len(short), 20, 60))
     steps = steps or int(np.clip(0.4 * len(short), 15, 40))
-    best, _ = swarm(evaluated(df.sparkSession, lambda p: binary_fitness(p, x, y, alpha)), len(short), particles, steps, seed)
+    frames = packed(gather(df, short, features), target, features, sample_rows=sample_rows, seed=seed)
+    best, _ = swarm(evaluated(lambda masks: binary_losses(frames, masks, alpha)), len(short), particles, steps, seed)
+    frames.blocks.unpersist()
     chosen = [short[i] for i in np.flatnonzero(best > 0.5)]
     if not chosen and not allow_empty:
         raise ValueError("the swarm selected nothing")
     return chosen
 
 
-def mpso(df: DataFrame, target: str, dimensions: int = 5, features: str = "features", candidate_limit: int | None = 250, sensitivity: float = 2.0, mrmr_limit: int = 60, particles: int = 20, steps: int = 10, alpha: float = 0.9, weight: float = 0.2, seed: int = 42, sample_rows: int = SAMPLE_ROWS) -> tuple[list[int], np.ndarray]:
+def mpso(df: DataFrame, target: str, dimensions: int = 5, features: str = "features", candidate_limit: int | None = 250, sensitivity: float = 2.0, mrmr_limit: int = 60, particles: int = 20, steps: int = 10, alpha: float = 0.9, weight: float = 0.2, seed: int = 42, sample_rows: int | None = None) -> tuple[list[int], np.ndarray]:
     """Positions and the matrix (positions by dimensions) of mean-of-features weights."""
     short = shortlist(df, target, features, candidate_limit, sensitivity, 250, mrmr_limit)
-    x, y = sampled(gather(df, short, features), target, features, sample_rows)
-    fitness = lambda p: projection_fitness(p, x, y, dimensions, alpha, weight=weight)
-    best, _ = swarm(evaluated(df.sparkSession, fitness), len(short) * dimensions, particles, steps, seed)
+    frames = packed(gather(df, short, features), target, features, sample_rows=sample_rows, seed=seed)
+    best, _ = swarm(evaluated(lambda masks: projection_losses(frames, masks, dimensions, alpha, weight)), len(short) * dimensions, particles, steps, seed)
+    frames.blocks.unpersist()
     chosen = (best.reshape(len(short), dimensions) > 0.5).astype(float)
     return short, chosen / (chosen.sum(0) + 1e-12)

@@ -16,7 +16,7 @@ from framelens.plans import pipeline as P
 from framelens.plans.registered import LONG, query
 from framelens.plans.statistics import embeddings, lines
 
-SMALL = P.Parameters(particles=8, max_iter=4, mpso_particles=6, mpso_iter=2, num_eigenvector=2, num_iteration=200, sample_rows=400, max_amino=8, amino_bins=10, candidate_limit=16, n_dimensions=3)
+SMALL = P.Parameters(particles=8, max_iter=4, mpso_particles=6, mpso_iter=2, num_eigenvector=2, num_iteration=200, max_amino=8, amino_bins=10, candidate_limit=16, n_dimensions=3)
 
 
 def _top(spark, sf_dir, k=16):
@@ -93,14 +93,14 @@ def o82_mrmr(spark, sf_dir):
 
 @query()
 def o84_bpso(spark, sf_dir):
-    at = S.bpso(embeddings(spark, sf_dir), "label", candidate_limit=16, mrmr_limit=12, particles=8, steps=4, sample_rows=400)
+    at = S.bpso(embeddings(spark, sf_dir), "label", candidate_limit=16, mrmr_limit=12, particles=8, steps=4)
     return spark.createDataFrame([(int(p),) for p in at], "pos int")
 
 
 @query()
 def o86_mpso(spark, sf_dir):
     df = embeddings(spark, sf_dir)
-    at, matrix = S.mpso(df, "label", 3, candidate_limit=12, mrmr_limit=8, particles=6, steps=2, sample_rows=400)
+    at, matrix = S.mpso(df, "label", 3, candidate_limit=12, mrmr_limit=8, particles=6, steps=2)
     return _numbers(R.project(gather(df, at), matrix), "vec_id", "label")
 
 
@@ -126,13 +126,12 @@ def o90_bandwidth(spark, sf_dir):
 
 @query()
 def o92_information_distances(spark, sf_dir):
-    t = A.sampled_trajectories(_top(spark, sf_dir, 10), rows=400)
-    return A.pair_distances(spark, t, 10).select("i", "j", F.round("distance", 9).alias("distance"))
+    return A.frame_distances(_top(spark, sf_dir, 10), bins=10)[0].select("i", "j", F.round("distance", 9).alias("distance"))
 
 
 @query()
 def o95_amino(spark, sf_dir):
-    at = A.select_features(_top(spark, sf_dir, 16), max_outputs=8, bins=10, sample_rows=400)
+    at = A.select_features(_top(spark, sf_dir, 16), max_outputs=8, bins=10)
     return spark.createDataFrame([(int(p),) for p in at], "pos int")
 
 

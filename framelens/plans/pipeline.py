@@ -49,7 +49,7 @@ class Parameters:
     num_iteration: int = 1000
     stop_crit: int = 30
     convergence_threshold: float = 1e-5
-    sample_rows: int = 2000
+    sample_rows: int | None = None
     seed: int = 42
 
 
@@ -58,7 +58,7 @@ HELP = {
     "candidate_limit": "features kept by score before the costly steps; None finds the knee",
     "max_amino": "most features that stand for clusters; None means 40",
     "num_eigenvector": "components kept; None means 95 % of the variance",
-    "sample_rows": "frames that swarms and mutual information are computed on, at most",
+    "sample_rows": "frames that swarms and mutual information are computed on, at most; None means all",
 }
 
 

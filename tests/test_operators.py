@@ -195,3 +195,31 @@ def test_class_assignment(spark):
         assert out.where("class like 'cluster_%'").count() == 120
     with pytest.raises(ValueError):
         pipeline.assigned(df, "none")
+
+
+def test_swarms_and_distances_use_every_frame(spark):
+    rng = np.random.default_rng(11)
+    y = np.repeat([0, 1, 2], [1500, 1000, 6])
+    x = rng.normal(size=(len(y), 4)) + np.outer(y, [1.5, 0, 0, 0])
+    df = frame(spark, x, y).repartition(5)
+    frames = selection.packed(df, "class", "features")
+    masks = [np.array([True, False, True, False]), np.ones(4, bool)]
+    got = frames.accuracies([np.eye(4)[:, m] for m in masks])
+    parts = [p for r in frames.blocks.collect() for p in zip(np.frombuffer(r["x"]).reshape(-1, 4), np.frombuffer(r["y"], np.int32), np.frombuffer(r["fold"], np.int32), strict=True)]
+    px, py, fold = (np.array(v) for v in zip(*parts, strict=True))
+    assert len(py) == len(y) and [np.bincount(fold[py == c]).tolist() for c in range(3)] == [[500] * 3, [334, 333, 333], [2] * 3]
+    assert frames.sizes.tolist() == np.bincount(fold).tolist()
+    for m, value in zip(masks, got, strict=True):
+        want = []
+        for k in range(3):
+            models = [selection.fit_svm(px[fold != k][:, m], np.where(py[fold != k] == c, 1.0, -1.0)) for c in range(3)]
+            want.append((selection.decide(px[fold == k][:, m], models) == py[fold == k]).mean())
+        assert abs(value - np.mean(want)) < 1e-9
+    assert abs(selection.draws(np.arange(100_000, dtype=np.uint64), 3).mean() - 1) < 0.02
+    assert selection.projection_losses(frames, [np.array([True, False, False, True] * 2)], 2)[0] < 1
+    frames.blocks.unpersist()
+    whole = amino.normalised(x.T)
+    want = amino.distance_matrix(amino.pair_distances(spark, whole, 12), 4)
+    pairs, count = amino.frame_distances(df, bins=12)
+    assert count == 4 and np.allclose(amino.distance_matrix(pairs, 4), want)
+    assert pipeline.Parameters().sample_rows is None
