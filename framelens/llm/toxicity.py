@@ -36,8 +36,8 @@ MAX_FIT = 3000
 MAX_COUNT = 12_000
 #: Features whose shares in toxic and clean rows differ by fewer standard errors get the ratio 0.
 LEAST_Z = 2.5
-#: Features that keep a ratio other than 0, at most: those that differ by the most standard errors.
-MAX_FEATURES = 6000
+#: Rows that a step of the fit has expanded at once.
+FIT_ROWS = 128
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 
@@ -114,24 +114,43 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"feature": used.astype(np.int32), "clean": counts[0, used], "toxic": counts[1, used]})
 
 
-def logistic(rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, ratios: np.ndarray, l2: float = 0.1, steps: int = 400) -> tuple[np.ndarray, float]:
+def logistic(found: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, l2: float = 0.1, steps: int = 400) -> tuple[np.ndarray, float]:
     """Coefficients and intercept of an L2-penalised logistic regression on scaled features.
 
-    Row rows[i] has the value ratios[f] at its feature f = ids[i]. Plain accelerated gradient
-    descent; the two labels weigh alike.
+    Row i has the value ratios[f] at each feature f of found[i]. Plain accelerated gradient
+    descent; the two labels weigh alike. Features stay in the four bytes that they came in;
+    only FIT_ROWS rows at a time are expanded.
     """
     n = len(labels)
-    values = ratios[ids]
     share = labels.mean()
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) / n
+    lengths = np.array([len(x) for x in found])
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    ids = np.concatenate(found)
+    parts = [slice(start, min(start + FIT_ROWS, n)) for start in range(0, n, FIT_ROWS)]
+
+    def by_row(values: np.ndarray) -> np.ndarray:
+        """The sum of values (one per feature) over the features of each row."""
+        out = np.zeros(n)
+        for p in parts:
+            rows = np.repeat(np.arange(p.stop - p.start), lengths[p])
+            out[p] = np.bincount(rows, values[ids[ends[p.start] : ends[p.stop]]], p.stop - p.start)
+        return out
+
+    def by_feature(values: np.ndarray) -> np.ndarray:
+        """The sum of values (one per row) over the rows of each feature."""
+        out = np.zeros(len(ratios))
+        for p in parts:
+            out += np.bincount(ids[ends[p.start] : ends[p.stop]], np.repeat(values[p], lengths[p]), len(ratios))
+        return out
+
     w, b = np.zeros(len(ratios)), 0.0
     at, at_b, momentum = w.copy(), b, 1.0
-    norm = np.bincount(rows, values * values, n) + 1.0
-    rate = 4.0 / float((weight * norm).sum())
+    rate = 4.0 / float((weight * (by_row(ratios * ratios) + 1.0)).sum())
     for _ in range(steps):
-        z = np.bincount(rows, values * at[ids], n) + at_b
+        z = by_row(ratios * at) + at_b
         slope = weight * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - labels)
-        new = at - rate * (np.bincount(ids, slope[rows] * values, len(ratios)) + l2 / n * at)
+        new = at - rate * (by_feature(slope) * ratios + l2 / n * at)
         new_b = at_b - rate * float(slope.sum())
         after = (1.0 + np.sqrt(1.0 + 4.0 * momentum * momentum)) / 2.0
         pull = (momentum - 1.0) / after
@@ -146,10 +165,7 @@ def log_count_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic
     q = (clean + smoothing) / (n_clean + 2 * smoothing)
     pooled = (clean + toxic + 1.0) / (n_clean + n_toxic + 2.0)
     z = (toxic / n_toxic - clean / n_clean) / np.sqrt(pooled * (1 - pooled) * (1 / n_clean + 1 / n_toxic))
-    keep = np.abs(z) >= least_z
-    strongest = np.lexsort((np.arange(len(z)), -np.abs(z)))[:MAX_FEATURES]
-    keep &= np.isin(np.arange(len(z)), strongest)
-    return np.where(keep, np.log(p / q), 0.0)
+    return np.where(np.abs(z) >= least_z, np.log(p / q), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_count: int = MAX_COUNT) -> Model:
@@ -179,9 +195,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_count: i
 
     sample = labelled.where(F.col("_rank") <= max_fit).mapInPandas(encoded, "label int, ids binary").collect()  # bounded by max_fit
     sample.sort(key=lambda r: (r["label"], r["ids"]))
-    found = [np.frombuffer(r["ids"], np.int32) for r in sample]
-    rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    w, b = logistic(rows, np.concatenate(found).astype(np.int64), np.array([r["label"] for r in sample], float), ratios)
+    known = np.array([r["label"] for r in sample], float)
+    # The kept features are numbered anew, so that the fit is as wide as they are many.
+    kept = np.flatnonzero(ratios)
+    number = np.zeros(1 << BITS, np.int32)
+    number[kept] = np.arange(len(kept))
+    found = [number[np.frombuffer(r["ids"], np.int32)] for r in sample]
+    del sample
+    w = np.zeros(1 << BITS)
+    w[kept], b = logistic(found, known, ratios[kept])
     return Model(w * ratios, b)
 
 

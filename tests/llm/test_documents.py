@@ -240,3 +240,16 @@ def test_factorisation_identity():
 @pytest.mark.parametrize("operator", [lambda d: packing.pack_documents(d, PATH), fingerprints.fingerprints_with_edits, mixing.mix_sources, mixing.mixed_documents, outliers.robust_outliers, secrets.find_secrets, secrets.redact])
 def test_empty(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_toxicity_keeps_every_feature_that_differs():
+    clean, toxic = np.zeros(9000, int), np.full(9000, 50)
+    assert (toxicity.log_count_ratios(clean, toxic, 100, 100) != 0).all()
+    rng = np.random.default_rng(5)
+    labels = np.repeat([0.0, 1.0], 150)
+    found = [np.flatnonzero(rng.random(40) < 0.2 + 0.4 * (k * np.arange(40) / 40)).astype(np.int32) for k in labels]
+    ratios = rng.normal(size=40)
+    w, b = toxicity.logistic(found, labels, ratios)
+    x = np.array([np.bincount(f, minlength=40) for f in found]) * ratios
+    slope = (1 / (1 + np.exp(-(x @ w + b))) - labels) / len(labels)
+    assert np.abs(x.T @ slope + 0.1 / len(labels) * w).max() < 1e-3 and abs(slope.sum()) < 1e-3
