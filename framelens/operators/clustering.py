@@ -1,12 +1,13 @@
 """State discovery: diagonal Gaussian mixtures, spectral clustering by landmarks, time-lagged components.
 
-The number of states is chosen on a bounded sample; the final fit of the mixture and every
-label use all frames.
+Fits start from a bounded sample, drawn by digest from the whole table, and go on as partial
+sums over the frames: the mixture's curve over every stride-th frame (by digest of the key),
+its final fit, k-means and every label over all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +27,29 @@ def _population_scale(df: DataFrame, features: str) -> tuple[np.ndarray, np.ndar
     return np.array([r["m"] or 0.0 for r in rows]), np.where(s > 0, s, 1.0)
 
 
-def _head(df: DataFrame, order: Sequence[str], features: str, rows: int, stride: int = 1) -> np.ndarray:
-    df = df.orderBy(*order).limit(rows * stride)
+def _drawn(df: DataFrame, order: Sequence[str], features: str, rows: int) -> np.ndarray:
+    """At most rows frames of the whole table, by digest of their key."""
+    df = df.orderBy(F.xxhash64(F.lit(7), *order), *order).limit(rows)
     x = df.select(F.col(features).cast("array<double>").alias("x")).toPandas()["x"]
-    return np.nan_to_num(np.stack(x.to_numpy()[::stride])) if len(x) else np.zeros((0, 0))
+    return np.nan_to_num(np.stack(x.to_numpy())) if len(x) else np.zeros((0, 0))
+
+
+def _sums_by_k(df: DataFrame, features: str, part: Callable[[np.ndarray], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    """What part gives for the frames, an array for each k, summed over all of them."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if len(batch):
+                for k, v in part(np.nan_to_num(np.stack(batch[features].to_numpy()).astype(float))).items():
+                    out[k] = out[k] + v if k in out else v
+        yield pd.DataFrame({"k": np.array(list(out), np.int32), "sums": [v.astype(float).tobytes() for v in out.values()]})
+
+    def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [key[0]], "sums": [np.sum([np.frombuffer(r) for r in rows["sums"]], 0).tobytes()]})
+
+    rows = df.select(features).mapInPandas(sums, "k int, sums binary").groupBy("k").applyInPandas(added, "k int, sums binary")
+    return {r["k"]: np.frombuffer(r["sums"]) for r in rows.collect()}  # one row per k
 
 
 @dataclass
@@ -99,22 +119,15 @@ def mixture_states(df: DataFrame, order: Sequence[str], features: str = "feature
     """(df with global_cluster_id, table of k, bic and chosen)."""
     spark = df.sparkSession
     shift, scale = _population_scale(df, features)
-    x = (_head(df, order, features, sample_rows, stride) - shift) / scale
-    ks = [k for k in range(2, max_k + 1) if k < len(x)]
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k in batch["k"]:
-                model, value = fit_local(x, int(k), seed)
-                rows.append((k, model.bic(value, len(x))))
-            yield pd.DataFrame(rows, columns=["k", "bic"])
-
-    table = spark.createDataFrame([(k,) for k in ks], "k int").repartition(len(ks)).mapInPandas(search, "k int, bic double").orderBy("k").collect()
-    bics = [r["bic"] for r in table]
+    strided = df.where(F.pmod(F.xxhash64(*order), F.lit(stride)) == 0).select(*order, features).persist()
+    n = strided.count()
+    models = mixtures(strided, order, features, [k for k in range(2, max_k + 1) if k < n], shift, scale, sample_rows, seed)
+    strided.unpersist()
+    ks = sorted(models)
+    bics = [float(models[k][0].bic(models[k][1], n)) for k in ks]
     found = knee(bics, 2.0, sensitivity)
     k = int(found[0]) if found else ks[int(np.argmin(bics))]
-    model, _ = fit_local(x, k, seed)
+    model = models[k][0]
     for _ in range(steps):
         rows = df.select(features).mapInPandas(_partial(model, shift, scale, features), "c int, pos int, n double, s double, q double")
         sums = rows.groupBy("c", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).toPandas()
@@ -131,10 +144,35 @@ def mixture_states(df: DataFrame, order: Sequence[str], features: str = "feature
     def label(v: pd.Series) -> pd.Series:
         return pd.Series(model.log_parts((np.nan_to_num(np.stack(v.to_numpy()).astype(float)) - shift) / scale).argmax(1).astype(np.int32))
 
-    curve = spark.createDataFrame([(r["k"], r["bic"], r["k"] == k) for r in table], "k int, bic double, chosen boolean")
+    curve = spark.createDataFrame([(i, bic, bool(i == k)) for i, bic in zip(ks, bics, strict=True)], "k int, bic double, chosen boolean")
     return df.withColumn("global_cluster_id", label(features)), curve
 
 
+def mixtures(df: DataFrame, order: Sequence[str], features: str, ks: Sequence[int], shift: np.ndarray, scale: np.ndarray, sample_rows: int, seed: int, steps: int = 100, tolerance: float = 1e-3, floor: float = 1e-4) -> dict[int, tuple[Mixture, float]]:
+    """A mixture and its log likelihood over all rows of df for each k; all of a step in one pass."""
+    x = (_drawn(df, order, features, sample_rows) - shift) / scale
+    models = {k: fit_local(x, k, seed)[0] for k in ks if k < len(x)}
+    values, going, d = dict.fromkeys(models, -np.inf), set(models), len(scale)
+    for _ in range(steps):
+        now = {k: models[k] for k in going}
+
+        def part(v: np.ndarray, now=now) -> dict[int, np.ndarray]:
+            z = (v - shift) / scale
+            return {k: np.concatenate([np.ravel(a) for a in m.step(m.log_parts(z), z)] + [[len(z)]]) for k, m in now.items()}
+
+        for k, sums in _sums_by_k(df, features, part).items():
+            value, n = sums[-2:]
+            done = abs(value - values[k]) < tolerance * n
+            values[k] = float(value)
+            if done:
+                going.discard(k)  # the model that the value is of stays
+            else:
+                models[k] = _updated(sums[:k], sums[k : k + k * d].reshape(k, d), sums[k + k * d : k + 2 * k * d].reshape(k, d), floor)
+        if not going:
+            break
+    return {k: (models[k], values[k]) for k in models}
+
+
 def _partial(model: Mixture, shift: np.ndarray, scale: np.ndarray, features: str):
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k, d = model.means.shape
@@ -158,18 +196,44 @@ def _labelled(df: DataFrame, embed, centres: np.ndarray, features: str) -> DataF
     return df.withColumn("global_cluster_id", label(features))
 
 
-def _by_inertia(z: np.ndarray, most: int, fallback: int, seed: int, sensitivity: float = 1.0) -> np.ndarray:
-    ks = [k for k in range(2, most + 1) if k <= len(z)]
-    fits = {k: kmeans(z, k, seed) for k in ks}
-    found = knee([fits[k][1] for k in ks], 2.0, sensitivity)
-    k = int(found[0]) if found else min(fallback, ks[-1])
-    return fits[k][0]
+def _by_inertia(df: DataFrame, features: str, embed, sample: np.ndarray, most: int, fallback: int, seed: int, sensitivity: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Centres of all embedded frames, as many as the knee of the inertia says; they start from the sample's."""
+    z = embed(sample)
+    centres = {k: kmeans(z, k, seed)[0] for k in range(2, most + 1) if k <= len(z)}
+    inertia, going, d = dict.fromkeys(centres, 0.0), set(centres), z.shape[1]
+    frames = df.select(features).persist()
+    for _ in range(rounds + 1):
+        now = {k: centres[k] for k in going}
+
+        def part(v: np.ndarray, now=now) -> dict[int, np.ndarray]:
+            e, out = embed(v), {}
+            for k, c in now.items():
+                own = nearest(e, c)
+                member = np.eye(k)[own]
+                out[k] = np.concatenate([member.sum(0), (member.T @ e).ravel(), [((e - c[own]) ** 2).sum()]])
+            return out
+
+        for k, sums in _sums_by_k(frames, features, part).items():
+            n, s = sums[:k, None], sums[k:-1].reshape(k, d)
+            new = np.where(n > 0, s / np.maximum(n, 1), centres[k])
+            inertia[k] = float(sums[-1])
+            if np.allclose(new, centres[k]):
+                going.discard(k)
+            else:
+                centres[k] = new
+        if not going:
+            break
+    frames.unpersist()
+    ks = sorted(centres)
+    found = knee([inertia[k] for k in ks], 2.0, sensitivity)
+    return centres[int(found[0]) if found else min(fallback, ks[-1])]
 
 
 def spectral_states(df: DataFrame, order: Sequence[str], features: str = "features", components: int = 100, max_k: int = 15, sample_rows: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
     """df with global_cluster_id from a radial kernel's features at sampled landmarks."""
     shift, scale = _population_scale(df, features)
-    x = (_head(df, order, features, sample_rows) - shift) / scale
+    sample = _drawn(df, order, features, sample_rows)
+    x = (sample - shift) / scale
     landmarks = x[np.random.default_rng(seed).permutation(len(x))[:components]]
     gamma = 1 / x.shape[1]
 
@@ -179,7 +243,7 @@ def spectral_states(df: DataFrame, order: Sequence[str], features: str = "featur
     values, vectors = np.linalg.eigh(kernel(landmarks))
     root = vectors / np.sqrt(np.maximum(values, 1e-12)) @ vectors.T
     embed = lambda v: kernel((v - shift) / scale) @ root
-    centres = _by_inertia(kernel(x) @ root, max_k, 5, seed)
+    centres = _by_inertia(df, features, embed, sample, max_k, 5, seed)
     return _labelled(df, embed, centres, features)
 
 
@@ -218,7 +282,7 @@ def time_lagged_states(df: DataFrame, key: Sequence[str], order: Sequence[str],
     order_ = np.argsort(-slow)[:components]
     matrix = white @ turn[:, order_] * np.clip(slow[order_], 0, None)
     embed = lambda v: (v - shift) / scale @ matrix
-    centres = _by_inertia(embed(_head(df, [*key, *order], features, sample_rows)), max_k, 4, seed)
+    centres = _by_inertia(df, features, embed, _drawn(df, [*key, *order], features, sample_rows), max_k, 4, seed)
 
     @F.pandas_udf("array<double>")
     def two(v: pd.Series) -> pd.Series:

@@ -155,22 +155,22 @@ def o95b_chi_sq_amino(spark, sf_dir):
 
 @query()
 def o71_mixture_states(spark, sf_dir):
-    return K.mixture_states(_top(spark, sf_dir, 8), ["vec_id"], max_k=6, stride=2, steps=4)[0].select("vec_id", "global_cluster_id")
+    return K.mixture_states(_top(spark, sf_dir, 8), ["vec_id"])[0].select("vec_id", "global_cluster_id")
 
 
 @query()
 def o72_bic_curve(spark, sf_dir):
-    return K.mixture_states(_top(spark, sf_dir, 8), ["vec_id"], max_k=6, stride=2, steps=0)[1]
+    return K.mixture_states(_top(spark, sf_dir, 8), ["vec_id"], steps=0)[1]
 
 
 @query()
 def o73_spectral_states(spark, sf_dir):
-    return K.spectral_states(_top(spark, sf_dir, 16), ["vec_id"], components=40, max_k=8, sample_rows=2000).select("vec_id", "global_cluster_id")
+    return K.spectral_states(_top(spark, sf_dir, 16), ["vec_id"]).select("vec_id", "global_cluster_id")
 
 
 @query()
 def o74_time_lagged_states(spark, sf_dir):
-    df = K.time_lagged_states(_top(spark, sf_dir, 16), ["label"], ["vec_id"], lag=3, max_k=6, sample_rows=2000)
+    df = K.time_lagged_states(_top(spark, sf_dir, 16), ["label"], ["vec_id"], lag=3)
     return df.select("vec_id", "global_cluster_id", F.round("TICA_1", 6).alias("TICA_1"), F.round("TICA_2", 6).alias("TICA_2"))
 
 

@@ -223,3 +223,15 @@ def test_swarms_and_distances_use_every_frame(spark):
     pairs, count = amino.frame_distances(df, bins=12)
     assert count == 4 and np.allclose(amino.distance_matrix(pairs, 4), want)
     assert pipeline.Parameters().sample_rows is None
+
+
+def test_states_that_occur_late_are_found(spark):
+    rng = np.random.default_rng(8)
+    own = np.repeat([0, 1, 2], [300, 60, 60])
+    df = frame(spark, rng.normal(0, 0.3, (420, 2)) + 8 * np.column_stack([own == 1, own == 2]), own)
+    out, curve = clustering.mixture_states(df, ["frame_number"], max_k=4, stride=2, sample_rows=60)
+    bics = {r["k"]: r["bic"] for r in curve.collect()}
+    assert bics[3] < bics[2] - 100
+    for out in (out, clustering.spectral_states(df, ["frame_number"], components=40, max_k=5, sample_rows=100)):
+        late = out.where("class > 0").groupBy("class").agg({"global_cluster_id": "min"}).collect()
+        assert len({r[1] for r in late}) == 2
