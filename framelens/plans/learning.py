@@ -176,8 +176,7 @@ def o74_time_lagged_states(spark, sf_dir):
 
 @query()
 def o101_pipeline_leaderboard(spark, sf_dir):
-    configs = [("fisher_amino", "flda"), ("fisher_amino", "pca"), ("chi_sq_amino", "mhlda"), ("bpso", "zhlda")]
-    results = P.run(embeddings(spark, sf_dir), "label", configs=configs, parameters=SMALL, filter_variance=False)
+    results = P.run(embeddings(spark, sf_dir), "label")
     return P.leaderboard(results, "label").select("pipeline", F.round("separability", 6).alias("separability"), "rank", F.round("share", 6).alias("share"))
 
 

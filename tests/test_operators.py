@@ -235,3 +235,18 @@ def test_states_that_occur_late_are_found(spark):
     for out in (out, clustering.spectral_states(df, ["frame_number"], components=40, max_k=5, sample_rows=100)):
         late = out.where("class > 0").groupBy("class").agg({"global_cluster_id": "min"}).collect()
         assert len({r[1] for r in late}) == 2
+
+
+def test_leaderboard_is_of_the_whole_workflow(spark, monkeypatch):
+    from framelens.plans import learning
+
+    given = {}
+
+    def run(df, target, features="features", configs=None, parameters=None, filter_variance=True):
+        given.update(configs=configs or pipeline.configurations(), parameters=parameters or pipeline.Parameters(), filter_variance=filter_variance)
+        raise InterruptedError
+
+    monkeypatch.setattr(pipeline, "run", run)
+    with pytest.raises(InterruptedError):
+        learning.o101_pipeline_leaderboard(spark, "/root/testdata/sf0.001")
+    assert given == {"configs": pipeline.configurations(), "parameters": pipeline.Parameters(), "filter_variance": True}
