@@ -192,10 +192,15 @@ def save(results: Sequence[Result], path: str, mode: str = "errorifexists") -> N
 
 
 def checkpointed(df: DataFrame, path: str, step: str, parameters: Parameters, make) -> DataFrame:
-    """The stored result of a step for these parameters and this input schema; made if there is none."""
-    key = hashlib.sha256(json.dumps([step, asdict(parameters), df.schema.json(), df.inputFiles()[:1000]], sort_keys=True).encode()).hexdigest()[:16]
-    at = f"{path}/{step}-{key}"
+    """The stored result of a step for these parameters, this input schema and these files (name, size, time); made if there is none."""
     spark = df.sparkSession
+    files = []
+    for name in sorted(df.inputFiles()):
+        file = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file)
+        files.append((name, status.getLen(), status.getModificationTime()))
+    key = hashlib.sha256(json.dumps([step, asdict(parameters), df.schema.json(), files], sort_keys=True).encode()).hexdigest()[:16]
+    at = f"{path}/{step}-{key}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         make(df).write.mode("overwrite").parquet(at)

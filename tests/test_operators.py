@@ -250,3 +250,14 @@ def test_leaderboard_is_of_the_whole_workflow(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         learning.o101_pipeline_leaderboard(spark, "/root/testdata/sf0.001")
     assert given == {"configs": pipeline.configurations(), "parameters": pipeline.Parameters(), "filter_variance": True}
+
+
+def test_a_stored_step_is_made_again_for_other_rows(spark, tmp_path):
+    at = str(tmp_path / "in")
+    step = lambda: pipeline.checkpointed(spark.read.parquet(at), str(tmp_path / "cp"), "copy", pipeline.Parameters(), lambda df: df).count()
+    spark.range(1001).repartition(1001).write.parquet(at)
+    assert step() == 1001
+    name = sorted((tmp_path / "in").glob("part-*"))[-1]
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "more"))
+    next((tmp_path / "more").glob("part-*")).rename(name.with_name("part-99999-more.parquet"))
+    assert step() == 1008
