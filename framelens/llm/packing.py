@@ -42,6 +42,16 @@ _MARK = "\x01"
 _WORD_END = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-zß-öø-ÿ].)", re.DOTALL)
 
 
+#: White space of the vocabulary: unlike str.split, it does not part texts at U+001C to U+001F.
+_SPACE = re.compile("[^\\S\x1c-\x1f]+")
+_NO_SPACE = re.compile("[\x1c-\x1f]")
+
+
+def parts_of(text: str) -> list[str]:
+    """The parts of a text between the white space of the vocabulary."""
+    return [p for p in _SPACE.split(text) if p] if _NO_SPACE.search(text) else text.split()
+
+
 class Tokens:
     """Ids of whole texts as little-endian unsigned 32-bit numbers, the closing id included."""
 
@@ -74,7 +84,7 @@ class Tokens:
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
-            parts = spaced(text or "").split()
+            parts = parts_of(spaced(text or ""))
             try:
                 yield b"".join(map(self.known.__getitem__, parts)) + self.closing
             except KeyError:

@@ -13,7 +13,7 @@ The model is fitted by mini-batch Adagrad on a bounded sample of the labelled ro
 scored.
 
 Defined results: a null text is empty, has no words and is scored on its structure alone;
-null labels are not used; a null n_chars is replaced by the text's length; without labels of both kinds the score
+null labels are not used; of documents that share a labelled id one is learnt from; a null n_chars is replaced by the text's length; without labels of both kinds the score
 is the share of the label 1 (0.5 without labels); an empty table gives an empty table; rows
 that repeat an id or a text are scored alike; labels, lang, source and doc_id are never
 inputs of a score.
@@ -151,16 +151,22 @@ def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     encode = Encoder()
     for batch in batches:
         rows = [encode(t, n) for t, n in zip(batch["text"], batch["n_chars"], strict=True)]
-        yield pd.DataFrame({"label": batch["label"], "ids": [a.astype(np.int32).tobytes() for a, _ in rows], "stats": [b.tobytes() for _, b in rows]})
+        yield pd.DataFrame({"_id": batch["_id"], "label": batch["label"], "ids": [a.astype(np.int32).tobytes() for a, _ in rows], "stats": [b.tobytes() for _, b in rows]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Machine:
-    """docs: doc_id, text, n_chars. labels: _id, label (others than 0 and 1 are not used)."""
+def sample_of(docs: DataFrame, labels: DataFrame, max_fit: int) -> list:
+    """label, ids, stats of one row per sampled id: at most 2 * max_fit rows, however often ids repeat."""
     chosen = bounded_sample(labels, max_fit)
     sized = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"))
     rows = sized.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most 2 * max_fit ids
-    sample = rows.select("label", "text", "n_chars").mapInPandas(_encoded, "label int, ids binary, stats binary").collect()  # bounded likewise
-    sample.sort(key=lambda r: (r["label"], r["ids"], r["stats"]))
+    encoded = rows.select(F.col("_id").cast("string").alias("_id"), "label", "text", "n_chars").mapInPandas(_encoded, "_id string, label int, ids binary, stats binary")
+    once = encoded.groupBy("_id").agg(F.min(F.struct("label", "ids", "stats")).alias("row"))  # combined before the shuffle
+    return sorted(once.select("row.*").collect(), key=lambda r: (r["label"], r["ids"], r["stats"]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Machine:
+    """docs: doc_id, text, n_chars. labels: _id, label (others than 0 and 1 are not used)."""
+    sample = sample_of(docs, labels, max_fit)
     known = np.array([r["label"] for r in sample], float)
     if not len(known) or known.min() == known.max():
         level = 0.0 if not len(known) else 30.0 if known[0] else -30.0

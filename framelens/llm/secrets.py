@@ -10,8 +10,12 @@ Beyond them a candidate is reported only when its structure holds:
 * ``ssh``: base64 that decodes to the length-prefixed fields of an SSH public or private key;
 * ``pem``: an armoured block whose body decodes to either of the last two.
 
-Spans are code points, end exclusive. Decoding is bounded by the candidate itself: every
-whole text is scanned. Per-row work only: no shuffle.
+An encoded key may begin anywhere in a run of base64 or hexadecimal text (behind a path or a
+label, say): every place where the first bytes of a structure could stand is tried, and the
+structure's own length says where it ends. Nesting may have any depth.
+
+Spans are code points, end exclusive. Every whole text is scanned. Per-row work only: no
+shuffle.
 
 Defined results: null text is empty and has no spans; rows are scanned one by one, repeats
 included; an empty table gives an empty table.
@@ -30,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelens.llm.common import free
+
 #: In the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "token", "der", "ssh", "pem")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -39,11 +45,18 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(r"[A-Za-z0-9+/_=.-]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-_ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){16,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){16,}(?![0-9A-Za-z])")
+_ANY_HEX = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 
 INTEGER, BIT_STRING, OCTET_STRING, OBJECT, SEQUENCE, SET = 0x02, 0x03, 0x04, 0x06, 0x30, 0x31
-MAX_DEPTH = 12
+#: Tags of DER elements that hold no others.
+PLAIN_TAGS = frozenset((0x01, INTEGER, BIT_STRING, OCTET_STRING, 0x05, OBJECT, 0x0C, 0x13, 0x16, 0x17, 0x18))
+#: Within a longer run a sequence must be this long and begin like a key, since chance finds shorter ones.
+LEAST_INNER = 24
+INNER_FIRST = (b"\x02", b"\x30", b"\x06")
+#: How base64 of a DER sequence, of length-prefixed fields and of "openssh-key-v1" begins.
+_SSH_HEAD = re.compile(rb"openssh-key-v1\x00|\x00\x00\x00.(?:ssh|ecdsa|sk)-", re.DOTALL)
+_BASE64_STARTS = re.compile("M[A-I]|AAAA[A-E]|b3BlbnNzaC1rZXkt")
 
 
 def decoded(text: str) -> bytes | None:
@@ -70,26 +83,23 @@ def der_length(data: bytes, at: int) -> tuple[int, int] | None:
     return int.from_bytes(data[at + 1 : at + 1 + count], "big"), at + 1 + count
 
 
-def der_tags(data: bytes, depth: int = 0) -> set[int] | None:
+def der_tags(data: bytes) -> set[int] | None:
     """Tags within data if its elements, nested ones included, fill it exactly, else None."""
-    if depth > MAX_DEPTH:
-        return None
-    at, tags = 0, set()
-    while at < len(data):
-        tag = data[at]
-        found = der_length(data, at + 1)
-        if found is None or found[1] + found[0] > len(data):
-            return None
-        size, start = found
-        tags.add(tag)
-        if tag in (SEQUENCE, SET) or 0xA0 <= tag <= 0xA7:
-            inner = der_tags(data[start : start + size], depth + 1)
-            if inner is None:
+    tags: set[int] = set()
+    waiting = [(0, len(data))]
+    while waiting:
+        at, end = waiting.pop()
+        while at < end:
+            tag, found = data[at], der_length(data, at + 1)
+            if found is None or found[1] + found[0] > end:
                 return None
-            tags |= inner
-        elif tag not in (0x01, INTEGER, BIT_STRING, OCTET_STRING, 0x05, OBJECT, 0x0C, 0x13, 0x16, 0x17, 0x18) and not 0x80 <= tag <= 0x87:
-            return None
-        at = start + size
+            size, start = found
+            tags.add(tag)
+            if tag in (SEQUENCE, SET) or 0xA0 <= tag <= 0xA7:
+                waiting.append((start, start + size))
+            elif tag not in PLAIN_TAGS and not 0x80 <= tag <= 0x87:
+                return None
+            at = start + size
     return tags
 
 
@@ -100,6 +110,59 @@ def is_der_key(data: bytes) -> bool:
     return tags is not None and (INTEGER in tags or OBJECT in tags)
 
 
+def der_size(head: bytes) -> int | None:
+    """Bytes of the sequence that begins with head, by its length field; None if head begins none."""
+    found = der_length(head, 1) if head[:1] == bytes([SEQUENCE]) else None
+    return None if found is None else found[0] + found[1]
+
+
+def inner_spans(text: str) -> list[tuple[str, int, int]]:
+    """Structures that begin anywhere in a run of base64 characters."""
+    found, after = [], 0
+    for m in _BASE64_STARTS.finditer(text):
+        at = m.start()
+        if at < after:
+            continue
+        if m.group()[0] == "M":
+            size = der_size(decoded(text[at : at + 8]) or b"")
+            if size is None or size < LEAST_INNER or at + -(-size * 4 // 3) > len(text):
+                continue
+            end = at + -(-size * 4 // 3)
+            raw = decoded(text[at:end])
+            if raw and raw[0] == SEQUENCE and len(raw) >= size and raw[der_head(raw) :][:1] in INNER_FIRST and is_der_key(raw[:size]):
+                found.append(("der", at, end))
+                after = end
+        else:
+            if not _SSH_HEAD.match(decoded(text[at : at + 64 if at + 64 <= len(text) else at + (len(text) - at) // 4 * 4]) or b""):
+                continue
+            raw = decoded(text[at : at + (len(text) - at) // 4 * 4] if (len(text) - at) % 4 == 1 else text[at:])
+            if raw and is_ssh_key(raw):
+                found.append(("ssh", at, len(text)))
+                after = len(text)
+    return found
+
+
+def der_head(raw: bytes) -> int:
+    """Bytes of the tag and the length field."""
+    return der_length(raw, 1)[1]
+
+
+def inner_hex(text: str) -> list[tuple[int, int]]:
+    """Sequences that begin anywhere in a run of hexadecimal digits."""
+    found, at = [], text.find("30")
+    while at >= 0:
+        size = der_size(bytes.fromhex(text[at : at + (12 if at + 12 <= len(text) else (len(text) - at) // 2 * 2)]))
+        end = at + 2 * (size or 0)
+        if size and size >= LEAST_INNER and end <= len(text):
+            raw = bytes.fromhex(text[at:end])
+            if raw[der_head(raw) :][:1] in INNER_FIRST and is_der_key(raw):
+                found.append((at, end))
+                at = text.find("30", end)
+                continue
+        at = text.find("30", at + 1)
+    return found
+
+
 def is_ssh_key(data: bytes) -> bool:
     """openssh-key-v1 blocks, or length-prefixed fields that begin with a key type and fill the bytes."""
     if data.startswith(b"openssh-key-v1\0"):
@@ -143,13 +206,16 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
                 found.append(("token", offset + m.start(), offset + m.end()))
         for m in _BASE64.finditer(part):
             raw = decoded(m.group())
-            if raw:
-                kind = "der" if is_der_key(raw) else "ssh" if is_ssh_key(raw) else None
-                if kind:
-                    found.append((kind, offset + m.start(), offset + m.end()))
+            kind = ("der" if is_der_key(raw) else "ssh" if is_ssh_key(raw) else None) if raw else None
+            if kind:
+                found.append((kind, offset + m.start(), offset + m.end()))
+            else:
+                found += [(k, offset + m.start() + a, offset + m.start() + b) for k, a, b in inner_spans(m.group().rstrip("="))]
         for m in _ANY_HEX.finditer(part):
-            if is_der_key(bytes.fromhex(m.group())):
+            if len(m.group()) % 2 == 0 and is_der_key(bytes.fromhex(m.group())):
                 found.append(("der", offset + m.start(), offset + m.end()))
+            else:
+                found += [("der", offset + m.start() + a, offset + m.start() + b) for a, b in inner_hex(m.group())]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
             raw = decoded("".join(m.group(2).split()))
@@ -192,8 +258,9 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([_scanned(t) for t in texts], columns=names)
 
-    out = docs.withColumn("_found", scan(text_col))
-    return out.select(*[c for c in docs.columns if c not in names], *[F.col(f"_found.{n}").alias(n) for n in names])
+    own = free("_found", docs.columns)
+    out = docs.withColumn(own, scan(text_col))
+    return out.select(*[c for c in docs.columns if c not in names], *[F.col(f"{own}.{n}").alias(n) for n in names])
 
 
 def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
@@ -204,11 +271,12 @@ def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
         for texts in batches:
             yield pd.Series([None if t is None else masked(t, mask) for t in texts], dtype=object)
 
-    out = docs.withColumn("_masked", scan("text"))
-    changed = F.coalesce(F.col("_masked") != F.col("text"), F.lit(False))
-    own = {"text": F.col("_masked")}
+    name = free("_masked", docs.columns)
+    out = docs.withColumn(name, scan("text"))
+    changed = F.coalesce(F.col(name) != F.col("text"), F.lit(False))
+    own = {"text": F.col(name)}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(changed, F.length("_masked")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        own["n_chars"] = F.when(changed, F.length(name)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*[own[c].alias(c) if c in own else c for c in docs.columns])
 
 
