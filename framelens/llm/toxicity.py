@@ -1,17 +1,22 @@
 """Toxicity: a character n-gram linear classifier scaled by naive Bayes log-count ratios.
 
-Features are the hashed character n-grams (4 to 6, over words in lower case with a space on
-either side) that a text holds, each once. A feature is scaled by the ratio of the smoothed
-logarithms of the shares of toxic and of clean texts that hold it. A logistic regression is
-fitted on the scaled features. The classifier is fitted on a bounded sample of the labelled
-rows, those with the smallest digest of the id: ratios on at most ``MAX_COUNT`` of each
-label (counted by Spark with partial sums), coefficients on at most ``MAX_FIT`` of those.
-Every whole text is scored.
+Features are the character n-grams (4 to 6, over words in lower case with a space on either
+side) that a text holds, each once, hashed to 2^22. An n-gram lies within one word and its
+two spaces, so a text's features are those of its distinct words, and words are remembered.
+A feature is scaled by the log ratio of the smoothed shares of toxic and of clean texts that
+hold it; a text's scaled features are a vector of length one, so that long texts are scored
+like short ones. A logistic regression is fitted on these by mini-batch descent, over every
+feature that any counted text holds.
+
+The classifier learns from a bounded sample of the labelled rows, those with the smallest
+digest of the id: ratios from at most ``MAX_COUNT`` ids of each label (counted by Spark with
+partial sums), coefficients from at most ``MAX_FIT`` of those. Every whole text is scored.
 
 Defined results: a null text is empty and is scored by the intercept alone; labels of null
-are not used; without labels of both kinds every score is the share of toxic labels (0.0
-without labels); an empty table gives an empty table; rows that repeat an id or a text are
-scored alike; ids, languages, sources and labels are never part of a score.
+are not used; of documents that share a labelled id one is learnt from; without labels of
+both kinds every score is the share of toxic labels (0.0 without labels); an empty table
+gives an empty table; rows that repeat an id or a text are scored alike; ids, languages,
+sources and labels are never part of a score.
 """
 
 from __future__ import annotations
@@ -26,197 +31,171 @@ from pyspark.sql import functions as F
 
 from framelens.llm.common import bounded_sample, crc_fold, stored
 
-BITS = 18
+BITS = 22
 SIZES = (4, 5, 6)
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: Labelled rows of each label that the linear model is fitted on, at most.
+#: Labelled ids of each label that the linear model is fitted on, at most.
 MAX_FIT = 3000
-#: Labelled rows of each label that the log-count ratios are taken from, at most.
+#: Labelled ids of each label that the log-count ratios are taken from, at most.
 MAX_COUNT = 12_000
-#: Features whose shares in toxic and clean rows differ by fewer standard errors get the ratio 0.
-LEAST_Z = 2.5
-#: Rows that a step of the fit has expanded at once.
-FIT_ROWS = 128
+#: Words whose n-grams a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 200_000, 60
+#: Words of a text that are turned into n-grams at once.
+PIECE = 50_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 
 
-def grams(texts: list[str | None], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of every n-gram of the whole texts, in no order and with repeats.
-
-    An n-gram lies within one word, whose neighbouring spaces it may take in. With keep (a
-    flag per feature) only the features that it marks are returned.
-    """
-    parts = [" " + " ".join(words) + " " if (words := (t or "").lower().split()) else "" for t in texts]
-    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    of = np.repeat(np.arange(len(parts), dtype=np.int64), [len(p) for p in parts])
-    spaces = np.cumsum(codes == 32, dtype=np.int32)
-    rows, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) of every n-gram of words, by word, with repeats."""
+    parts = [f" {w} " for w in words]
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    rows, ids = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     rolled = codes
     for n in range(2, max(SIZES) + 1):
         if len(codes) < n:
             break
         rolled = rolled[: len(codes) - n + 1] * _STEP + codes[n - 1 :]
         if n in SIZES:
-            own = ((rolled * _MIX) >> np.uint64(64 - BITS)).astype(np.int64)
-            good = spaces[n - 2 : len(codes) - 1] == spaces[: len(codes) - n + 1]
-            if keep is not None:
-                good &= keep[own]
-            at = np.flatnonzero(good)
+            at = np.flatnonzero(of[: len(codes) - n + 1] == of[n - 1 :])
             rows.append(of[at])
-            ids.append(own[at])
-    return np.concatenate(rows), np.concatenate(ids)
-
-
-def features(texts: list[str | None], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (row, feature) pairs of whole texts, sorted."""
-    rows, ids = grams(texts, keep)
-    pairs = np.unique((rows << BITS) | ids)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
-
-
-def chunks(texts: list, most: int = 1 << 19) -> Iterator[slice]:
-    """Slices of texts of about most characters, so that one pass over them stays small."""
-    start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield slice(start, k + 1)
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+            ids.append(((rolled[at] * _MIX) >> np.uint64(64 - BITS)).astype(np.int32))
+    found, features = np.concatenate(rows), np.concatenate(ids)
+    order = np.argsort(found, kind="stable")
+    return found[order], features[order]
+
+
+class Features:
+    """The sorted distinct features of whole texts."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, np.ndarray] = {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = list(set((text or "").lower().split()))
+        if len(words) > PIECE:
+            seen = np.zeros(1 << BITS, bool)
+            for start in range(0, len(words), PIECE):
+                seen[grams(words[start : start + PIECE])[1]] = True
+            return np.flatnonzero(seen).astype(np.int32)
+        found = [self.known[w] for w in words if w in self.known]
+        new = [w for w in words if w not in self.known]
+        if new:
+            rows, ids = grams(new)
+            found.append(ids)
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known = {}
+            ends = np.searchsorted(rows, np.arange(len(new) + 1))
+            self.known.update((w, ids[a:b].copy()) for w, a, b in zip(new, ends, ends[1:], strict=False) if len(w) <= LONGEST)
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
 
 
 @dataclass
 class Model:
-    """Weight of every feature (ratio times coefficient) and the intercept."""
+    """The features that were counted, their ratios and coefficients, and the intercept."""
 
-    weights: np.ndarray
+    ids: np.ndarray
+    ratios: np.ndarray
+    coefficients: np.ndarray
     intercept: float
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        rows, ids = features(texts, self.weights != 0)
-        z = self.intercept + np.bincount(rows, self.weights[ids], len(texts))
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+    def scorer(self):
+        """Features of a text -> score."""
+        weights, squares = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+        weights[self.ids] = self.coefficients * self.ratios
+        squares[self.ids] = self.ratios * self.ratios
+
+        def of(found: np.ndarray) -> float:
+            length = float(squares[found].sum(dtype=np.float64)) ** 0.5
+            z = self.intercept + (float(weights[found].sum(dtype=np.float64)) / length if length else 0.0)
+            return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
+
+        return of
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros((2, 1 << BITS), np.int64)
-    seen = np.zeros(1 << BITS, bool)
+    counts, features = np.zeros((2, 1 << BITS), np.int32), Features()
     for batch in batches:
         for text, label in zip(batch["text"], batch["label"], strict=True):
-            seen[grams([text])[1]] = True
-            found = np.flatnonzero(seen)
-            seen[found] = False
-            counts[int(label)][found] += 1
-    used = np.flatnonzero(counts.sum(0))
-    yield pd.DataFrame({"feature": used.astype(np.int32), "clean": counts[0, used], "toxic": counts[1, used]})
+            counts[int(label)][features(text)] += 1
+    used = np.flatnonzero(counts.any(0))
+    yield pd.DataFrame({"feature": used.astype(np.int32), "clean": counts[0, used].astype(np.int64), "toxic": counts[1, used].astype(np.int64)})
+
+
+def log_count_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int, smoothing: float = 1.0) -> np.ndarray:
+    return np.log((toxic + smoothing) / (n_toxic + 2 * smoothing)) - np.log((clean + smoothing) / (n_clean + 2 * smoothing))
 
 
-def logistic(found: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, l2: float = 0.1, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept of an L2-penalised logistic regression on scaled features.
+def logistic(found: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, epochs: int = 10, rate: float = 20.0, batch: int = 32, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of a logistic regression on scaled features, the two labels weighing alike.
 
-    Row i has the value ratios[f] at each feature f of found[i]. Plain accelerated gradient
-    descent; the two labels weigh alike. Features stay in the four bytes that they came in;
-    only FIT_ROWS rows at a time are expanded.
+    Row i has the values ratios[f] over their length at the features f = found[i]. Only one
+    batch of rows is expanded at a time. With rows of length one a step of 4 is the largest
+    that cannot overshoot on a single row; in a batch of 32 each row's is less than one.
     """
-    n = len(labels)
+    rng = np.random.default_rng(seed)
     share = labels.mean()
-    weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) / n
-    lengths = np.array([len(x) for x in found])
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    ids = np.concatenate(found)
-    parts = [slice(start, min(start + FIT_ROWS, n)) for start in range(0, n, FIT_ROWS)]
-
-    def by_row(values: np.ndarray) -> np.ndarray:
-        """The sum of values (one per feature) over the features of each row."""
-        out = np.zeros(n)
-        for p in parts:
-            rows = np.repeat(np.arange(p.stop - p.start), lengths[p])
-            out[p] = np.bincount(rows, values[ids[ends[p.start] : ends[p.stop]]], p.stop - p.start)
-        return out
-
-    def by_feature(values: np.ndarray) -> np.ndarray:
-        """The sum of values (one per row) over the rows of each feature."""
-        out = np.zeros(len(ratios))
-        for p in parts:
-            out += np.bincount(ids[ends[p.start] : ends[p.stop]], np.repeat(values[p], lengths[p]), len(ratios))
-        return out
-
+    weights = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+    scale = np.array([1.0 / max(float((ratios[f] ** 2).sum()), 1e-12) ** 0.5 for f in found])
     w, b = np.zeros(len(ratios)), 0.0
-    at, at_b, momentum = w.copy(), b, 1.0
-    rate = 4.0 / float((weight * (by_row(ratios * ratios) + 1.0)).sum())
-    for _ in range(steps):
-        z = by_row(ratios * at) + at_b
-        slope = weight * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - labels)
-        new = at - rate * (by_feature(slope) * ratios + l2 / n * at)
-        new_b = at_b - rate * float(slope.sum())
-        after = (1.0 + np.sqrt(1.0 + 4.0 * momentum * momentum)) / 2.0
-        pull = (momentum - 1.0) / after
-        at, at_b, momentum = new + pull * (new - w), new_b + pull * (new_b - b), after
-        w, b = new, new_b
+    for _ in range(epochs):
+        order = rng.permutation(len(found))
+        for start in range(0, len(found), batch):
+            chosen = order[start : start + batch]
+            lengths = np.array([len(found[k]) for k in chosen])
+            ids = np.concatenate([found[k] for k in chosen])
+            row = np.repeat(np.arange(len(chosen)), lengths)
+            x = ratios[ids] * scale[chosen][row]
+            z = np.bincount(row, w[ids] * x, len(chosen)) + b
+            slope = weights[chosen] * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - labels[chosen]) / len(chosen)
+            used, at = np.unique(ids, return_inverse=True)
+            w[used] -= rate * np.bincount(at, slope[row] * x, len(used))
+            b -= 0.25 * rate * float(slope.sum())
     return w, b
 
 
-def log_count_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int, smoothing: float = 1.0, least_z: float = LEAST_Z) -> np.ndarray:
-    """The ratio of each feature, 0 where clean and toxic shares differ by less than least_z standard errors."""
-    p = (toxic + smoothing) / (n_toxic + 2 * smoothing)
-    q = (clean + smoothing) / (n_clean + 2 * smoothing)
-    pooled = (clean + toxic + 1.0) / (n_clean + n_toxic + 2.0)
-    z = (toxic / n_toxic - clean / n_clean) / np.sqrt(pooled * (1 - pooled) * (1 / n_clean + 1 / n_toxic))
-    return np.where(np.abs(z) >= least_z, np.log(p / q), 0.0)
+def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    features = Features()
+    for batch in batches:
+        yield pd.DataFrame({"label": batch["label"], "ids": [features(t).tobytes() for t in batch["text"]]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_count: int = MAX_COUNT) -> Model:
     """docs: doc_id, text. labels: _id, label (others than 0 and 1 are not used)."""
     chosen = bounded_sample(labels, max_count)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most 2 * max_count ids
-    labelled = stored(rows.select("text", F.col("label").cast("int").alias("label"), "_rank"))
+    # One row per id, however often ids repeat: combined before the shuffle.
+    once = rows.groupBy("_id").agg(F.min(F.struct("label", "_rank", F.coalesce("text", F.lit("")).alias("text"))).alias("row"))
+    labelled = stored(once.select("row.text", F.col("row.label").cast("int").alias("label"), F.col("row._rank").alias("_rank")))
     totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not clean or not toxic:
-        return Model(np.zeros(1 << BITS), 30.0 if toxic else -30.0)
-    counted = labelled.mapInPandas(_count, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counted = counted.toPandas().sort_values("feature")  # at most 2**BITS rows
-    ratios = np.zeros(1 << BITS)
-    ratios[counted["feature"].to_numpy()] = log_count_ratios(counted["clean"].to_numpy(), counted["toxic"].to_numpy(), clean, toxic)
-    keep = labelled.sparkSession.sparkContext.broadcast(ratios != 0)  # 2**BITS flags
-
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            found: list[bytes] = []
-            for part in chunks(texts):
-                rows, ids = features(texts[part], keep.value)
-                ends = np.searchsorted(rows, np.arange(part.stop - part.start + 1))
-                found += [ids[a:b].astype(np.int32).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            yield pd.DataFrame({"label": batch["label"], "ids": found})
-
-    sample = labelled.where(F.col("_rank") <= max_fit).mapInPandas(encoded, "label int, ids binary").collect()  # bounded by max_fit
-    sample.sort(key=lambda r: (r["label"], r["ids"]))
-    known = np.array([r["label"] for r in sample], float)
-    # The kept features are numbered anew, so that the fit is as wide as they are many.
-    kept = np.flatnonzero(ratios)
-    number = np.zeros(1 << BITS, np.int32)
-    number[kept] = np.arange(len(kept))
-    found = [number[np.frombuffer(r["ids"], np.int32)] for r in sample]
-    del sample
-    w = np.zeros(1 << BITS)
-    w[kept], b = logistic(found, known, ratios[kept])
-    return Model(w * ratios, b)
+        return Model(np.zeros(0, np.int32), np.zeros(0), np.zeros(0), 30.0 if toxic else -30.0)
+    counted = labelled.mapInPandas(_count, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # at most 2**BITS rows
+    order = np.argsort(counted["feature"].to_numpy())
+    ids = counted["feature"].to_numpy()[order]
+    ratios = log_count_ratios(counted["clean"].to_numpy()[order], counted["toxic"].to_numpy()[order], clean, toxic)
+    sample = labelled.where(F.col("_rank") <= max_fit).mapInPandas(_encoded, "label int, ids binary").toArrow()  # at most 2 * max_fit rows
+    rows = sorted(zip(sample["label"].to_pylist(), sample["ids"].to_pylist(), strict=True))
+    del sample, counted
+    # Features are numbered among those counted, so that the fit is as wide as they are many.
+    found = [np.searchsorted(ids, np.frombuffer(i, np.int32)).astype(np.int32) for _, i in rows]
+    w, b = logistic(found, np.array([k for k, _ in rows], float), ratios)
+    return Model(ids, ratios, w, b)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted (columns of those names are replaced)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float64), model.intercept))  # 2**BITS numbers
+    # At most 2**BITS features of 12 bytes.
+    shared = docs.sparkSession.sparkContext.broadcast((model.ids, model.ratios.astype(np.float32), model.coefficients.astype(np.float32), model.intercept))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Model(*shared.value)
+        features, of = Features(), Model(*shared.value).scorer()
         for batch in batches:
-            texts = batch.tolist()
-            yield pd.Series(np.concatenate([np.zeros(0), *(own.scores(texts[part]) for part in chunks(texts))]))
+            yield pd.Series([of(features(t)) for t in batch], dtype="float64")
 
     return docs.withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
