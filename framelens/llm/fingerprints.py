@@ -6,10 +6,10 @@ fingerprints are alike by Jaccard similarity, pruned: sets whose lengths bound i
 threshold are not compared.
 
 ``fingerprints_with_edits`` sets every text beside the next document's in ascending id. The
-documents are dealt into runs of ids by sampled splitters and sorted within each run; the
-first document of a run also travels to the run before it. Only the first id of each run
-(at most ``MAX_RUNS`` numbers) passes the driver. The result does not depend on the
-splitters.
+documents are dealt into runs by sampled splitters of id and text digest, so that equal and
+null ids are spread as well, and sorted within each run; a run is compared as it streams by.
+The first document of a run also travels to the run before it. Only splitters and the first
+keys of runs (at most ``MAX_RUNS``) pass the driver. The result does not depend on them.
 
 ``similar_fingerprints`` finds all pairs of different fingerprints at or above a threshold:
 lengths are partitioned so that similar sets lie in the same or neighbouring partitions, and
@@ -17,14 +17,15 @@ within those an inverted index on the rarest signatures of each set finds the ca
 
 Defined results: null text is empty and its fingerprint is the empty string; empty sets are
 alike (1.0); texts with fewer than ``LEAST`` signatures also have the pairs of neighbouring
-words, and single words themselves; null ids come first; rows with equal ids are in order of
-their text (null as empty); the only document of a table is its own next; an empty table
+words, and single words themselves; null ids come first; rows with equal ids are in order of a
+digest of their text, then of the text (null as empty); the only document of a table is its own next; an empty table
 gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
@@ -33,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelens.llm.common import free, splitters
+
 CHAIN = 2
 LEAST = 4
 ROWS_PER_RUN = 1000
@@ -122,31 +125,35 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame({"fingerprint": [encoded(x) for x in found], "n_signatures": [len(x) for x in found]})
 
     kept = [c for c in docs.columns if c not in ("fingerprint", "n_signatures")]
-    return docs.withColumn("_made", made(text_col)).select(*kept, "_made.*")
+    own = free("_made", docs.columns)
+    return docs.withColumn(own, made(text_col)).select(*kept, f"{own}.*")
 
 
 def _in_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, text, _run, _ahead: the rows of each run, and as _ahead those that open the next run."""
+    """_known, _id, _digest, text, _run, _ahead: the rows of each run, and as _ahead those that open the next run."""
     spark = docs.sparkSession
-    ids = docs.select("doc_id")
-    rows = ids.count()
-    runs = min(MAX_RUNS, max(1, rows // ROWS_PER_RUN))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 10 * runs)).first()[0] if runs > 1 and rows else []
-    cuts = np.unique(np.array([c for c in cuts or [] if c is not None]))
+    kind = docs.schema["doc_id"].dataType
+    text = F.coalesce("text", F.lit(""))
+    # In pairs with _known, ids need not be null, so that no batch turns them into doubles.
+    none = F.lit("" if kind.typeName() == "string" else 0).cast(kind)
+    rows = docs.select(F.col("doc_id").isNotNull().cast("int").alias("_known"), F.coalesce("doc_id", none).alias("_id"), F.xxhash64(text).alias("_digest"), text.alias("text"))
+    keys = rows.select("_known", "_id", "_digest")
+    cuts = splitters(keys, max(1, min(MAX_RUNS, keys.count() // ROWS_PER_RUN)))
+    shared = spark.sparkContext.broadcast(cuts)  # at most MAX_RUNS
 
     @F.pandas_udf("int")
-    def run_of(values: pd.Series) -> pd.Series:
-        return pd.Series(np.where(values.isna(), 0, np.searchsorted(cuts, values.fillna(0), side="right")).astype(np.int32))
-
-    own = run_of if len(cuts) else (lambda _: F.lit(0))
-    firsts = ids.withColumn("_run", own("doc_id")).groupBy("_run").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("_first")).orderBy("_run").collect()  # at most MAX_RUNS
-    before = [(r["_first"], firsts[k - 1]["_run"]) for k, r in enumerate(firsts)]
-    ahead = spark.createDataFrame(before, f"_first {docs.schema['doc_id'].dataType.simpleString()}, _to int")
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_run", own("doc_id")).join(F.broadcast(ahead), F.col("doc_id").eqNullSafe(F.col("_first")), "left")
+    def run_of(known: pd.Series, ids: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(shared.value, key) for key in zip(known, ids, digests, strict=True)], dtype="int32")
+
+    run = run_of("_known", "_id", "_digest") if cuts else F.lit(0)
+    firsts = keys.withColumn("_run", run).groupBy("_run").agg(F.min(F.struct("_known", "_id", "_digest")).alias("_first")).orderBy("_run").collect()  # at most MAX_RUNS
+    before = [(*r["_first"], firsts[k - 1]["_run"]) for k, r in enumerate(firsts)]
+    ahead = spark.createDataFrame(before, f"_known int, _id {kind.simpleString()}, _digest long, _to int")
+    joined = rows.withColumn("_run", run).join(F.broadcast(ahead), ["_known", "_id", "_digest"], "left")  # one row per run
     here = F.struct(F.col("_run").alias("_run"), F.lit(0).alias("_ahead"))
     there = F.struct(F.col("_to").alias("_run"), F.lit(1).alias("_ahead"))
     places = F.when(F.col("_to").isNull(), F.array(here)).otherwise(F.array(here, there))
-    return joined.withColumn("_place", F.explode(places)).select("doc_id", "text", "_place.*")
+    return joined.withColumn("_place", F.explode(places)).select(*rows.columns, "_place.*")
 
 
 def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
@@ -177,8 +184,8 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     kind = docs.schema["doc_id"].dataType
-    dealt = _in_runs(docs).repartition("_run").sortWithinPartitions("_run", "_ahead", "doc_id", "text")
-    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
+    dealt = _in_runs(docs).repartition("_run").sortWithinPartitions("_run", "_ahead", "_known", "_id", "_digest", "text")
+    dealt = dealt.select(F.when(F.col("_known") == 1, F.col("_id").cast("string")).alias("doc_id"), "text", "_run", "_ahead")
     out = dealt.mapInPandas(compared, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumn("doc_id", out["doc_id"].cast(kind))
 

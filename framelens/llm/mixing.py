@@ -5,20 +5,25 @@ source's size are cut there and the excess is shared again by weight (water fill
 closed form: the water level is the largest of the levels that follow when the first k
 sources, ordered by the level at which they fill up, are full).
 
-A document of a source with target rate r (times its weight over the source's mean
-weight, if a weight column is given) has floor(r) certain copies; the rest of the rate is
-its inclusion probability p for one more. Documents are ranked by Q = odds(U) / odds(p)
-with U a uniform number from a digest of the id, and the smallest Q are taken until the
-source's remaining words are reached: a sample of fixed size in words, whose inclusion
-probabilities are close to the p. Since U depends on the id alone, reruns agree.
+Within a source documents have unequal rates, in proportion to a weight: the fourth root
+of their size in words, so that longer texts are likelier to come again, or a weight column.
+Weights count in steps of an eighth of a doubling. A rate ends at ``cap`` copies and what is cut off there
+is shared again among the other documents of the source, by the same water filling over the
+weight classes of the source, so the source's expected words are its target.
+
+A document of rate r has floor(r) certain copies; the rest p of the rate is its inclusion
+probability for one more. Documents are ranked by Q = odds(U) / odds(p) with U a uniform
+number from a digest of the id, and the smallest Q are taken until the source's remaining
+words are reached: a sample of fixed size in words, whose inclusion probabilities are close
+to the p. Since U depends on the id alone, reruns agree.
 
 No source is ever collected or ranked as a whole: two histograms of Q (4,096 bins, then
 4,096 within the bin at the border) find the border, so only the documents of one bin in
 16.7 million are ranked by a window.
 
 Defined results: null text has size 0 and takes 0; a null source is a source of its own,
-last; rows that repeat an id are ranked side by side, by size; an empty table gives an
-empty table.
+last; rows that repeat an id are ranked side by side, by size; null, negative and zero weights
+are the least weight class; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from framelens.llm.common import WORD, key_of, stored
 BINS = 4096
 #: 13 hexadecimal digits of a digest are 52 bits.
 UNIT = float(1 << 52)
+#: Weight classes in a doubling of the weight, and the least and greatest class.
+CLASSES, LOWEST, HIGHEST = 8, -400, 400
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
@@ -61,16 +68,33 @@ def _border(rows: DataFrame, bin_column: str, before: str) -> DataFrame:
 
 
 def _sized(docs: DataFrame, weight_col: str | None) -> DataFrame:
-    own = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    return docs.withColumns({"_source": F.col("source"), "size": size, "_own": F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(0.0)), "_s": key_of("source")})
-
-
-def _rated(rows: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
+    out = docs.withColumns({"_source": F.col("source"), "size": size, "_s": key_of("source")})
+    if weight_col:
+        own = F.col(weight_col).cast("double")
+        level = F.when(own > 0, F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), F.round(F.log2(own) * CLASSES)))).otherwise(F.lit(LOWEST))
+    else:
+        level = F.round(F.log2(F.col("size") + 1.0) * (CLASSES / 4))
+    return out.withColumn("_class", level.cast("int"))
+
+
+def _rates(sizes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
+    """_s, _class and the rate of its documents: at most cap, in proportion to the weight below it, adding up to the target."""
+    per = sizes.groupBy("_s", "_class").agg(F.sum("size").alias("_words")).join(targets, "_s")
+    per = per.withColumn("_a", F.pow(F.lit(2.0), F.col("_class") / F.lit(float(CLASSES))))
+    own = Window.partitionBy("_s")
+    before = own.orderBy(F.desc("_class")).rowsBetween(Window.unboundedPreceding, -1)
+    after = own.orderBy(F.desc("_class")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    full = F.lit(cap) * F.coalesce(F.sum("_words").over(before), F.lit(0))
+    # The rate per weight: the largest of those that follow when the heaviest classes are full.
+    per = per.withColumn("_each", F.try_divide(F.col("target") - full, F.sum(F.col("_a") * F.col("_words")).over(after)))
+    rate = F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), F.coalesce(F.max("_each").over(own), F.lit(0.0)) * F.col("_a")))
+    return per.select("_s", "_class", "source_size", "target", "_words", F.round(rate, 9).alias("_rate"))
+
+
+def _rated(rows: DataFrame, rates: DataFrame) -> DataFrame:
     """rows with their certain copies (_whole) and the probability of one more (_p)."""
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rate = F.when(F.col("_mean").isNull(), rate).otherwise(F.least(F.lit(float(cap)), rate * F.coalesce(F.col("_own") / F.col("_mean"), F.lit(0.0))))
-    rows = rows.join(targets, "_s").withColumn("_rate", rate).withColumn("_whole", F.floor("_rate"))
+    rows = rows.join(rates, ["_s", "_class"]).withColumn("_whole", F.floor("_rate"))
     return rows.withColumn("_p", F.col("_rate") - F.col("_whole"))
 
 
@@ -83,23 +107,23 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_b", F.floor(F.col("_z") * BINS)).withColumn("_f", F.floor(F.col("_z") * (BINS * BINS)))
 
 
-def _copied(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, weight_col: str | None) -> DataFrame:
-    """docs with size, source_size, target and copies. Only narrow rows are shuffled, but for those in the bins at the border."""
-    wide = _sized(docs, weight_col)
-    sizes = stored(wide.select("doc_id", "_source", "size", "_own", "_s"))
+def _copied(wide: DataFrame, sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
+    """wide with size, source_size, target and copies. sizes: stored _s, _source, _class, size, doc_id of the same rows.
+
+    Only narrow rows are shuffled, but for those in the bins at the border.
+    """
     targets = source_targets(sizes, list(weights), share, cap).drop("_source")
-    means = sizes.groupBy("_s").agg((F.sum(F.col("_own") * F.col("size")) / F.sum("size")).alias("_mean")) if weight_col else None
-    targets = targets.join(means, "_s") if weight_col else targets.withColumn("_mean", F.lit(None).cast("double"))
-    targets = stored(targets)
-    certain = _rated(sizes, targets, cap).groupBy("_s").agg(F.sum(F.col("_whole") * F.col("size")).alias("_certain"))
-    targets = stored(targets.join(certain, "_s").withColumn("_left", F.col("target") - F.col("_certain")).drop("_certain"))
+    rates = stored(_rates(sizes, targets, cap))
+    # Whole copies come from sums over the classes, so no document is read for them.
+    certain = rates.groupBy("_s").agg(F.sum(F.floor("_rate") * F.col("_words")).alias("_certain"))
+    rates = stored(rates.drop("_words").join(certain, "_s").withColumn("_left", F.col("target") - F.col("_certain")).drop("_certain"))
 
-    may = _ranked(_rated(sizes, targets, cap)).where("_q is not null").withColumn("_zero", F.lit(0))
+    may = _ranked(_rated(sizes, rates)).where("_q is not null").withColumn("_zero", F.lit(0))
     first = stored(_border(may, "_b", "_zero"))
     inside = may.join(first, "_s").where("_b = _at_b")
     # Sources without a border (all of their documents are taken) have no row here.
     second = stored(_border(inside, "_f", "_before_b"))
-    rows = _ranked(_rated(wide, targets, cap)).join(second, "_s", "left")
+    rows = _ranked(_rated(wide, rates)).join(second, "_s", "left")
     at_border = F.coalesce(F.col("_f") == F.col("_at_f"), F.lit(False))
     sure = rows.where(~at_border).withColumn("_more", F.when(F.col("_q").isNull(), F.lit(0)).when(F.col("_at_f").isNull() | (F.col("_f") < F.col("_at_f")), F.lit(1)).otherwise(F.lit(0)))
     upto = F.sum("size").over(Window.partitionBy("_s").orderBy("_q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
@@ -108,18 +132,22 @@ def _copied(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float,
     return sure.unionByName(border).withColumn("copies", (F.col("_whole") + F.col("_more")).cast("long"))
 
 
+NARROW = ["doc_id", "_source", "size", "_class", "_s"]
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, weight_col: str | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for every row of docs."""
+    """doc_id, size, source_size, target, taken, copies for every row of docs. Texts are read once."""
     named = docs.select("doc_id", "text", "source", *([weight_col] if weight_col else []))
-    out = _copied(named, weights, share, cap, weight_col)
+    sizes = stored(_sized(named, weight_col).select(*NARROW))
+    out = _copied(sizes, sizes, weights, share, cap)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The rows of docs as often as the mix takes them."""
     # Own columns travel in one struct, so that their names cannot clash.
-    named = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
-    out = _copied(named, weights, share, cap, None).where("copies > 0")
+    wide = _sized(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row")), None)
+    out = _copied(wide.drop("text"), stored(wide.select(*NARROW)), weights, share, cap).where("copies > 0")
     return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
@@ -135,11 +163,18 @@ levels as (
     / (sum(w) over () - coalesce(sum(w) over (order by full_at, source asc nulls last rows between unbounded preceding and 1 preceding), 0))::DOUBLE as level
   from filled),
 targets as (select source, source_size, least(cap, max(level) over () * w) as target from levels),
-rated as (
-  select s.doc_id, s.size, s.source, t.source_size, t.target,
-    case when t.source_size > 0 then t.target / t.source_size else 0.0 end as rate,
-    (('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE as u
+classed as (
+  select s.doc_id, s.size, s.source, t.source_size, t.target, round(log2(s.size + 1.0::DOUBLE) * 2.0::DOUBLE)::INT as class
   from sizes s join targets t on s.source is not distinct from t.source),
+classes as (select source, class, target, sum(size)::DOUBLE as words, power(2.0::DOUBLE, class / 8.0::DOUBLE) as a from classed group by source, class, target),
+levelled as (
+  select *, (target - 2.0::DOUBLE * coalesce(sum(words) over (partition by source order by class desc rows between unbounded preceding and 1 preceding), 0.0::DOUBLE))
+    / nullif(sum(a * words) over (partition by source order by class desc rows between current row and unbounded following), 0.0::DOUBLE) as each
+  from classes),
+rates as (select source, class, round(least(2.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(max(each) over (partition by source), 0.0::DOUBLE) * a)), 9) as rate from levelled),
+rated as (
+  select c.*, r.rate, (('0x' || substr(md5(coalesce(c.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE as u
+  from classed c join rates r on c.source is not distinct from r.source and c.class = r.class),
 parts as (select *, floor(rate) as whole, rate - floor(rate) as p from rated),
 ranked as (
   select *, case when p > 0 then (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) end as q,

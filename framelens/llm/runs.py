@@ -10,21 +10,20 @@ super-k-mer): k - 1 + n units for n windows. The steps:
 2. ``repeated``: minimisers are counted with partial sums; runs with an unrepeated one are
    done.
 3. Equal runs are one from here on, with a weight (how often, or the least document), so
-   thousands of copies cost as much as one. Where a minimiser has a single run, that run's
-   weight decides. Where it has several, one row per different run travels, as a packed
-   string, to the bucket of its minimiser (``strings``); there windows are sorted and
-   compared (``multikey``), unit by unit.
-4. Minimisers with more than ``HOT`` different runs (the edges of a passage that very many
-   texts hold) are not gathered: their windows go one by one as 128-bit digests into an
-   aggregation with partial sums.
-5. ``marks`` carries the verdicts back to every copy.
-
-Rows are known by _rid: the document's id if ids are unique, else a digest of id and text;
-rows that are equal in both share their verdict.
+   thousands of copies cost as much as one (``distinct_runs``). Where a minimiser has a single
+   run there is nothing to compare, and that run's weight decides. Where it has several, one
+   row per different run travels with its text (``spelt``) and is sorted and compared unit
+   by unit, as ``suffixes`` and ``superkmers`` say.
+4. ``marks`` carries the verdicts back to every copy. Minimisers and runs that very many rows
+   share are broadcast instead of shuffled (``common.joined``).
+
+Rows are known by their id and a 64-bit digest of their text (_tid); rows that are equal in
+both share their verdict.
 """
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -33,16 +32,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import stored
+from framelens.llm.common import joined, stored
 
-#: Different runs of a minimiser beyond which its windows are compared one by one by digest.
-HOT = 8192
 #: Units that a scan or a bucket works on at once.
 CHUNK = 1 << 18
 BUCKET_BYTES = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = np.uint64((1 << 31) - 1)
-RUNS = "_rid long, doc_id long, start int, n int, at int, key long, rh long"
+RUNS = "doc_id long, _tid long, start int, n int, at int, key long, rh long"
 
 
 @lru_cache(maxsize=4)
@@ -118,28 +115,42 @@ def chunks(sizes: list[int]) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+#: The number that stands for a null id; it comes before all others.
+NULL_ID = -(1 << 63)
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """_rid, doc_id (as long, null as the least number), given (the id as it was), text (null as empty)."""
+    """doc_id (as long, null as NULL_ID), _tid (a digest of the text), text (null as empty)."""
     if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError("doc_id must be an integer column")
-    given = F.col("doc_id")
-    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     text = F.coalesce(F.col("text"), F.lit(""))
-    rid = F.xxhash64(given, text) if twice else given.cast("long")
-    return docs.select(rid.alias("_rid"), F.coalesce(given.cast("long"), F.lit(-(1 << 63))).alias("doc_id"), given.alias("given"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("_tid"), text.alias("text"))
+
+
+def given(docs: DataFrame, column: str = "doc_id") -> Column:
+    """The id as it was in docs."""
+    return F.when(F.col(column) != NULL_ID, F.col(column)).cast(docs.schema["doc_id"].dataType).alias(column)
+
+
+def repeated(runs: DataFrame, across: bool) -> tuple[DataFrame, int]:
+    """Runs whose minimiser repeats (across: in different documents), with multi (several different runs have it) and lo (the least document); how many."""
+    keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("_times"), F.min("rh").alias("a"), F.max("rh").alias("b"), *([F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")] if across else []))
+    keys = stored(keys.where("lo < hi" if across else "_times > 1").select("key", (F.col("a") != F.col("b")).alias("multi"), *(["lo"] if across else []), "_times"))
+    total = keys.agg(F.sum("_times")).first()[0] or 0
+    return stored(joined(runs, keys, ["key"], "_times", total)), total
 
 
-def repeated(runs: DataFrame, across: bool) -> DataFrame:
-    """Runs whose minimiser repeats (across: in different documents), with multi (several different runs have it) and lo (the least document)."""
-    keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rh").alias("a"), F.max("rh").alias("b"), *([F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")] if across else []))
-    keys = keys.where("lo < hi" if across else "c > 1").select("key", (F.col("a") != F.col("b")).alias("multi"), *(["lo"] if across else []))
-    # Stored, so that the join's two sides are plain exchanges and a hot minimiser's can be split.
-    return stored(runs.join(stored(keys), "key"))
+def distinct_runs(found: DataFrame, weigh: Column) -> DataFrame:
+    """One row per different run of the minimisers that have several: key, rh, w, n, one place (rep), _times."""
+    several = found.where("multi").groupBy("key", "rh")
+    return stored(several.agg(weigh.alias("w"), F.first("n").alias("n"), F.min(F.struct("doc_id", "_tid", "start", "at")).alias("rep"), F.count(F.lit(1)).alias("_times")))
 
 
-def window_digests(codes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    one, two = Digests(codes), Digests(codes, 0xD6E8FEB86659FD93)
-    return one.of(starts, starts + k).view(np.int64), two.of(starts, starts + k).view(np.int64)
+def spelt(kept: DataFrame, runs: DataFrame, strings: Callable, schema: str, *more: str) -> DataFrame:
+    """strings of the texts that hold the runs' places, each text with the list of its runs."""
+    places = F.collect_list(F.struct("rep.start", "n", "rep.at", "key", "rh", "w", *more)).alias("runs")
+    wanted = runs.groupBy(F.col("rep.doc_id").alias("doc_id"), F.col("rep._tid").alias("_tid")).agg(places)
+    return stored(kept.dropDuplicates(["doc_id", "_tid"]).join(wanted, ["doc_id", "_tid"]).mapInPandas(strings, schema))
 
 
 def multikey(group: np.ndarray, column: Callable[[np.ndarray, int], np.ndarray], columns: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,48 +184,45 @@ def multikey(group: np.ndarray, column: Callable[[np.ndarray, int], np.ndarray],
     return order[paired], classes[paired]
 
 
-def marks(found: DataFrame, kept: DataFrame, weigh: Column, full: Column, single: Column, strings: Callable, bucket: Callable, joined: Column, by: list[str]) -> DataFrame:
-    """_rid, start, n, bits (null: all windows) of the runs that have windows to remove.
-
-    found: the repeated runs; kept: _rid and text of their documents. weigh aggregates equal
-    runs into w. full decides from (doc_id, w) whether all windows of a run go, single the
-    same where the run's minimiser has no other run (from doc_id, lo). strings makes the
-    packed runs of texts, bucket compares those of whole minimisers, joined combines w over
-    equal windows into hit (from all) against each w. by: what strings are dealt and sorted by.
+def order_of(column: Callable[[np.ndarray, int], np.ndarray], count: int, columns: int) -> np.ndarray:
+    """The items in ascending order by multikey quicksort: only items that agree so far are split by their next character."""
+    order, starts = np.arange(count), np.zeros(count, bool)
+    starts[:1] = True
+    for c in range(columns):
+        alone = starts & np.append(starts[1:], True)
+        at = np.flatnonzero(~alone)
+        if not len(at):
+            break
+        classes = np.cumsum(starts)[at]
+        value = column(order[at], c)
+        sub = np.lexsort((value, classes))
+        order[at], value = order[at[sub]], value[sub]
+        starts[at[1:]] |= (value[1:] != value[:-1]) | (classes[1:] != classes[:-1])
+    return order
+
+
+def marks(found: DataFrame, runs: DataFrame, bits: DataFrame, full: Column, single: Column, total: int) -> DataFrame:
+    """doc_id, _tid and found (set of start, n, bits in base64; null: all windows) of the rows that have windows to remove.
+
+    runs: from distinct_runs; bits: key, rh, first, n, bits of the windows that were found by
+    comparing. full decides from (doc_id, w) whether all windows of a run go, single the same
+    where the run's minimiser has no other run (from doc_id, lo).
     """
-    alone = found.where(~F.col("multi") & single).select("_rid", "start", "n", F.lit(None).cast("binary").alias("bits"))
-    several = found.where("multi")
-    runs = several.groupBy("key", "rh").agg(weigh.alias("w"), F.first("n").alias("n"), F.min(F.struct("_rid", "start", "at")).alias("rep"))
-    runs = stored(runs)
-    hot = runs.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") > HOT).select("key", F.lit(True).alias("hot"))
-    wanted = runs.join(hot, "key", "left").groupBy(F.col("rep._rid").alias("_rid")).agg(F.collect_list(F.struct("rep.start", "n", "rep.at", "key", "rh", "w", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
-    # Only one row of each _rid is needed here.
-    sent = stored(kept.dropDuplicates(["_rid"]).join(wanted, "_rid").mapInPandas(strings, "key long, rh long, n int, w long, data binary, lead binary, idx int, h1 long, h2 long"))
-    cold = sent.where("idx < 0")
-    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cold.repartitionByRange(parts, *by) if by != ["key"] else cold.repartition(parts, "key")
-    compared = dealt.sortWithinPartitions(*by).select("key", "rh", "n", "w", "data").mapInPandas(bucket, "key long, rh long, bits binary")
-    ones = sent.where("idx >= 0")
-    same = ones.groupBy("h1", "h2").agg(F.sum("w").alias("total"), F.min("w").alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    hits = ones.join(same, ["h1", "h2"]).where(joined).groupBy("key", "rh").agg(F.first("n").alias("n"), F.collect_list("idx").alias("hits"))
-
-    @F.pandas_udf("binary")
-    def packed(sizes: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([_bits(n, p) for n, p in zip(sizes, places, strict=True)], dtype=object)
-
-    bits = compared.unionByName(hits.select("key", "rh", packed("n", "hits").alias("bits")))
-    judged = several.join(runs.select("key", "rh", "w"), ["key", "rh"]).join(bits, ["key", "rh"], "left")
-    judged = judged.where(full | F.col("bits").isNotNull()).select("_rid", "start", "n", F.when(~full, F.col("bits")).alias("bits"))
-    return alone.unionByName(judged)
-
-
-def _bits(n: int, places: np.ndarray) -> bytes:
-    flags = np.zeros(n, bool)
-    flags[np.asarray(places, np.int64)] = True
-    return np.packbits(flags).tobytes()
-
-
-def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    alone = found.where(~F.col("multi") & single).select("doc_id", "_tid", "start", "n", F.lit(None).cast("string").alias("bits"))
+    parts = bits.groupBy("key", "rh").agg(F.collect_list(F.struct("first", "n", "bits")).alias("parts"))
+    verdicts = stored(runs.select("key", "rh", "w", "_times").join(parts, ["key", "rh"], "left"))
+    judged = joined(found.where("multi").select("key", "rh", "doc_id", "_tid", "start", "n"), verdicts, ["key", "rh"], "_times", total)
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("n"), F.lit(None).cast("string").alias("bits")))
+    judged = judged.select("doc_id", "_tid", "start", F.explode(F.when(full, whole).otherwise(F.col("parts"))).alias("p"))
+    judged = judged.select("doc_id", "_tid", (F.col("start") + F.col("p.first")).alias("start"), "p.n", "p.bits")
+    return alone.unionByName(judged).groupBy("doc_id", "_tid").agg(F.collect_set(F.struct("start", "n", "bits")).alias("found"))
+
+
+def packed(flags: np.ndarray) -> str:
+    return base64.b64encode(np.packbits(flags).tobytes()).decode()
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], by: str = "key") -> Iterator[pd.DataFrame]:
     """Rows that come sorted with equal keys together, in pieces that never part a key."""
     waiting: list[pd.DataFrame] = []
     size = 0
@@ -225,7 +233,7 @@ def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             size += int(part["data"].str.len().sum())
             if size >= BUCKET_BYTES:
                 rows = pd.concat(waiting)
-                keys = rows["key"].to_numpy()
+                keys = rows[by].to_numpy()
                 whole = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
                 if whole:
                     yield rows.iloc[:whole]
@@ -239,7 +247,7 @@ def chosen(length: int, runs: list) -> np.ndarray:
     flags = np.zeros(max(length, 0), bool)
     for run in runs:
         start, n, bits = run["start"], run["n"], run["bits"]
-        flags[start : start + n] |= True if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+        flags[start : start + n] |= True if bits is None else np.unpackbits(np.frombuffer(base64.b64decode(bits), np.uint8), count=n).astype(bool)
     return flags
 
 

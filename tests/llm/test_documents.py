@@ -63,7 +63,7 @@ def test_packing_balances_cost():
     assert len(pieces) < 1.5 * len(lengths)
 
 
-@pytest.mark.parametrize("text", ["a<|endoftext|>b", "ΑΣ ΣΑΣ. İ", "it's ok'll \x01 x\x01y", "word...?! a.b,c   　z", "½ Ⅷ 日本語。テスト", ""])
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "ΑΣ ΣΑΣ. İ", "it's ok'll \x01 x\x01y", "word...?! a.b,c   　z", "½ Ⅷ 日本語。テスト", "a\x1cb c\x1d d\x1e\x1f e", ""])
 def test_tokens_equal_the_library(text):
     from tokenizers import Tokenizer
 
@@ -75,7 +75,8 @@ def test_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS_PER_RUN", 7)
     rows = doubled(corpus())
     got = fingerprints.fingerprints_with_edits(frame(spark, rows).repartition(3)).collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    digests = {r["t"]: r["h"] for r in spark.createDataFrame([(r[1] or "",) for r in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, digests[r[1] or ""], r[1] or ""))
     want = []
     for k, r in enumerate(order):
         own, after = r[1] or "", order[(k + 1) % len(order)][1] or ""
@@ -242,14 +243,122 @@ def test_empty(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_toxicity_keeps_every_feature_that_differs():
-    clean, toxic = np.zeros(9000, int), np.full(9000, 50)
-    assert (toxicity.log_count_ratios(clean, toxic, 100, 100) != 0).all()
+def test_ratios_and_features():
+    texts, labels = ["abcd ef", "abcd abcd xyzzy", "", "xyzzy éé"], [1, 0, 1, 0]
+    features = toxicity.Features()
+
+    def plain(text):
+        """The n-grams of a text, spelt out."""
+        return {p[i : i + n] for w in text.lower().split() for p in [f" {w} "] for n in toxicity.SIZES for i in range(len(p) - n + 1)}
+
+    for t in texts:
+        assert len(features(t)) == len(plain(t))
+    for a in texts:
+        for b in texts:
+            assert len(np.intersect1d(features(a), features(b))) == len(plain(a) & plain(b))
+    counts = np.zeros((2, 1 << toxicity.BITS), int)
+    for t, k in zip(texts, labels, strict=True):
+        counts[k][features(t)] += 1
+    ratios = toxicity.log_count_ratios(counts[0], counts[1], 2, 2)
+    own = features("abcd")
+    assert np.allclose(ratios[own], np.log((1 + 1) / (2 + 2)) - np.log((1 + 1) / (2 + 2)))
+    assert np.allclose(ratios[np.setdiff1d(features("xyzzy"), own)], np.log(1 / 4) - np.log(3 / 4))
+
+
+def test_logistic_separates():
     rng = np.random.default_rng(5)
     labels = np.repeat([0.0, 1.0], 150)
-    found = [np.flatnonzero(rng.random(40) < 0.2 + 0.4 * (k * np.arange(40) / 40)).astype(np.int32) for k in labels]
-    ratios = rng.normal(size=40)
+    found = [np.flatnonzero(rng.random(40) < 0.2 + 0.5 * (k * np.arange(40) / 40)).astype(np.int32) for k in labels]
+    ratios = np.linspace(-1, 1, 40)
     w, b = toxicity.logistic(found, labels, ratios)
-    x = np.array([np.bincount(f, minlength=40) for f in found]) * ratios
-    slope = (1 / (1 + np.exp(-(x @ w + b))) - labels) / len(labels)
-    assert np.abs(x.T @ slope + 0.1 / len(labels) * w).max() < 1e-3 and abs(slope.sum()) < 1e-3
+    model = toxicity.Model(np.arange(40, dtype=np.int32), ratios, w, b)
+    score = model.scorer()
+    plain = [1 / (1 + np.exp(-(b + sum(w[f] * ratios[f]) / np.sqrt(sum(ratios[f] ** 2))))) for f in found]
+    assert np.allclose([score(f) for f in found], plain, atol=1e-5)
+    assert np.mean((np.array(plain) > 0.5) == labels) > 0.9
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    docs = spark.createDataFrame([(i % 20, f"word{i} other text", 10) for i in range(4000)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i % 20, i % 2) for i in range(300)], "_id long, label int")
+    assert len(quality.sample_of(docs, labels, 5)) <= 10
+
+
+def brute_mcd(x):
+    """The operator's estimate for a single group, by plain loops: two starts, concentration, reweighting."""
+    d = x.shape[1]
+    steps = np.array(outliers.STEP)
+
+    def floored(cov):
+        cov = cov.copy()
+        cov[np.diag_indices(d)] = np.maximum(np.diag(cov), steps**2)
+        return cov
+
+    def distances(m, cov):
+        z = np.linalg.solve(np.linalg.cholesky(cov), (x - m).T)
+        return (z * z).sum(0)
+
+    near = lambda v: np.round(v / 50) * 50
+    low, mid, high = (np.sort(x, 0)[max(0, int(np.ceil(q * len(x))) - 1)] for q in (0.25, 0.5, 0.75))
+    starts = [(near(mid), np.diag(np.maximum(near(high - low) / 1.349, steps) ** 2)), (x.mean(0), floored(np.cov(x.T, bias=True)))]
+    results = []
+    for m, cov in starts:
+        for _ in range(outliers.STEPS):
+            bins = np.floor(outliers.BINS_PER_E * np.log(distances(m, cov) + 1e-9))
+            order = np.sort(np.unique(bins))
+            counts = np.array([(bins == b).sum() for b in order])
+            kept = order[np.concatenate([[0], np.cumsum(counts)[:-1]]) < outliers.SUBSET * len(x)]
+            own = x[np.isin(bins, kept)]
+            m, cov = own.mean(0), floored(np.cov(own.T, bias=True) * outliers.CONSISTENT_75)
+        results.append((np.linalg.slogdet(cov)[1], m, cov))
+    _, m, cov = min(results, key=lambda r: round(r[0], 6))
+    own = x[distances(m, cov) <= outliers.CHI2_975]
+    return distances(own.mean(0), floored(np.cov(own.T, bias=True) * outliers.CONSISTENT_975))
+
+
+def test_outliers_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(30, 300)) + (" ***" * rng.randint(0, 4)) + ("\nHead\nHead" if i % 7 == 0 else ""), "en", "a") for i in range(200)]
+    rows += [(1000 + i, " ".join(f"{x}***" for x in prose(rng, 100).split()), "en", "a") for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = outliers.text_statistics(docs)
+    x = stats.select("doc_id", *outliers._transformed()).toPandas().sort_values("doc_id")[outliers.STATS].to_numpy(float)
+    got = outliers.robust_outliers(docs).toPandas().sort_values("doc_id")
+    want = brute_mcd(x)
+    assert np.allclose(got.distance, want, rtol=1e-4, atol=1e-4)
+    assert (got.kept == (~got.base_failed & (want <= outliers.CHI2_999))).all()
+
+
+def test_every_group_has_its_own_estimate(spark):
+    """Two sources of one language whose ordinary texts differ: neither is an outlier of the other."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, rng.randint(50, 200)), "en", "plain") for i in range(300)]
+    rows += [(1000 + i, " ".join(f"{x.upper()}" for x in prose(rng, rng.randint(50, 200)).split()), "en", "loud") for i in range(300)]
+    got = outliers.robust_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    assert got.groupby(got.doc_id < 1000).kept.mean().min() > 0.95
+
+
+def test_weighted_mix_reaches_its_target(spark):
+    rows = [(i, "w " * 10, "a", 100.0 if i < 20 else 1.0) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double")
+    got = mixing.mix_sources(docs, (1,), 1.5, 2.0, "weight").toPandas()
+    assert abs(got.taken.sum() - got.target.iloc[0]) <= 10 and (got.copies <= 2).all() and (got[got.doc_id < 20].copies == 2).all()
+
+
+def test_secrets_anywhere_in_a_run():
+    key = der(b"\x00", b"\x11" * 40, b"\x03", b"\x22" * 40)
+    text = base64.b64encode(key).decode()
+    for before in ("path/", "x-", "A" * 7):
+        assert ("der", len(before), len(before) + len(text.rstrip("="))) in secrets.confirmed(before + text + "zz")
+    assert secrets.confirmed("f" + key.hex() + "00") == [("der", 1, 1 + 2 * len(key))]
+    deep = der(b"\x01" * 30)
+    for _ in range(40):
+        deep = bytes([0x30, 0x82]) + len(deep).to_bytes(2, "big") + deep
+    assert [k for k, _, _ in secrets.confirmed(base64.b64encode(deep).decode())] == ["der"]
+
+
+def test_own_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "password=hunter22 x", "keep", "keep", "keep", 5)], "doc_id long, text string, _found string, _masked string, _made string, n_chars long")
+    for made in (secrets.find_secrets(docs), secrets.redact(docs), fingerprints.fingerprints(docs)):
+        row = made.first()
+        assert row["_found"] == row["_masked"] == row["_made"] == "keep"

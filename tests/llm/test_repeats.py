@@ -79,15 +79,15 @@ def rows(request):
     return found + [found[2], found[12], (7, "other text " * 30, *found[7][2:])] if request.param else found
 
 
-@pytest.mark.parametrize("hot", [8192, 1])
-def test_bytes(spark, rows, hot, monkeypatch):
-    monkeypatch.setattr(runs, "HOT", hot)
+@pytest.mark.parametrize("most", [50_000, 3])
+def test_bytes(spark, rows, most, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET", most)
     assert collected(suffixes.remove_repeats(frame(spark, rows).repartition(3))) == sorted(brute_bytes(rows), key=str)
 
 
-@pytest.mark.parametrize("hot", [8192, 1])
-def test_words(spark, rows, hot, monkeypatch):
-    monkeypatch.setattr(runs, "HOT", hot)
+@pytest.mark.parametrize("most", [50_000, 3])
+def test_words(spark, rows, most, monkeypatch):
+    monkeypatch.setattr(superkmers, "MOST", most)
     assert collected(superkmers.remove_seen_windows(frame(spark, rows).repartition(3))) == sorted(brute_words(rows), key=str)
 
 
