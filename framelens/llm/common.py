@@ -98,19 +98,21 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
-def splitters(keys: DataFrame, parts: int, per: int = 20) -> list[tuple]:
-    """At most parts - 1 sampled tuples that cut keys into ranges of like size, in ascending order.
+def sampled(keys: DataFrame, parts: int, per: int = 20) -> tuple[list[tuple], int]:
+    """(about per * parts rows of keys in ascending order, how many rows each stands for).
 
     A row is sampled by the digest of its values, so repeated keys are sampled together; at
-    most about 2 * per * parts rows come to the driver.
+    most 2 * per * parts rows come to the driver.
     """
-    count = keys.count()
-    every = max(1, count // (per * parts))
+    every = max(1, keys.count() // (per * parts))
     chosen = keys.where(F.pmod(F.xxhash64(*keys.columns, F.lit(11)), F.lit(every)) == 0)
-    # A digest that many rows share may pass the bound: the rest of the sample still cuts evenly.
-    sample = sorted(tuple(r) for r in chosen.limit(2 * per * parts).collect())
-    cuts = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
-    return sorted(set(cuts))
+    return sorted(tuple(r) for r in chosen.limit(2 * per * parts).collect()), every
+
+
+def splitters(keys: DataFrame, parts: int) -> list[tuple]:
+    """At most parts - 1 sampled tuples that cut keys into ranges of like size, in ascending order."""
+    sample, _ = sampled(keys, parts)
+    return sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
 
 
 def fold_of(doc_id, folds: int) -> int:

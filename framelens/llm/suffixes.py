@@ -4,15 +4,16 @@ Suffixes start at minimisers (see ``runs``), so that any two equal strings of 20
 suffixes at the same place; suffixes whose first 40 bytes never repeat are left out before
 anything travels. A suffix travels with the bytes around it, once for all equal stretches.
 
-1. Splitters are sampled from the suffixes and range-partition them by their leading bytes
-   (up to 200, so that a group of any size is cut).
+1. Splitters are sampled from the suffixes and range-partition them by their leading bytes.
+   Suffixes with the same first 40 bytes stay together if they are no more than ``BUCKET``,
+   else splitters of up to 200 bytes cut them, so that no bucket grows with such a group.
 2. A bucket sorts its suffixes by multikey quicksort, and likewise the bytes before them,
    backwards, and takes the lengths on which neighbours agree. A string of 200 bytes that
    begins b bytes before a suffix is a repeat if another suffix agrees with it on 200 - b
    bytes ahead and b bytes back: if both are in one class of either order at these lengths.
 3. Buckets are compared across their boundaries: strings whose bytes ahead are the beginning
-   of a splitter may have equals in other buckets. These leave the bucket, by splitter and
-   bytes back, and are counted by an aggregation on the bytes themselves.
+   of a splitter within a group may have equals in other buckets. These leave the bucket, by
+   splitter and bytes back, and are counted by an aggregation on the bytes themselves.
 
 Defined results: null text is empty; texts shorter than ``LENGTH`` bytes keep everything;
 repeated rows repeat each other, so both lose all their repeated strings; an empty table
@@ -22,6 +23,7 @@ gives an empty table.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -31,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelens.llm import runs as R
-from framelens.llm.common import joined, splitters, stored
+from framelens.llm.common import joined, sampled, stored
 
 LENGTH = 200
 LEADING = 40
-#: Suffixes of a bucket, about.
+#: Suffixes of a bucket, about, and of a group that is not cut.
 BUCKET = 50_000
+#: The digest of a splitter before all suffixes that begin with its bytes.
+BEFORE = -(1 << 63)
 #: A fixed random code for every byte.
 CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -107,7 +111,7 @@ def _bucket(cuts: list[tuple[bytes, int]]):
             # Strings that reach no further ahead than this may have equals behind a cut.
             near = np.zeros(len(rows), np.int64)
             for i, (own, bucket) in enumerate(zip(ahead, rows["bucket"], strict=True)):
-                near[i] = max((_common(own, cuts[c][0]) for c in (bucket - 1, bucket) if 0 <= c < len(cuts) and cuts[c][0][:LEADING] == own[:LEADING]), default=0)
+                near[i] = max((_common(own, cuts[c][0]) for c in (bucket - 1, bucket) if 0 <= c < len(cuts) and cuts[c][1] != BEFORE and cuts[c][0][:LEADING] == own[:LEADING]), default=0)
             rank_a, agree_a = _agreement(ahead, LENGTH)
             rank_b, agree_b = _agreement(back, LENGTH - LEADING)
             firsts = np.cumsum(n) - n
@@ -136,7 +140,12 @@ def _compared(sent: DataFrame) -> DataFrame:
     spark = sent.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     suffix = F.expr(f"substring(data, at + 1, {LENGTH})")
-    cuts = [(bytes(a), h) for a, h in splitters(sent.select(suffix.alias("suffix"), "rh"), max(parts, sent.count() // BUCKET))]
+    buckets = max(parts, sent.count() // BUCKET)
+    sample, every = sampled(sent.select(suffix.alias("suffix"), "rh"), buckets)
+    sample = [(bytes(a), h) for a, h in sample]
+    groups = Counter(a[:LEADING] for a, _ in sample)
+    picked = {sample[len(sample) * i // buckets] for i in range(1, buckets)} if sample else set()
+    cuts = sorted({(a, h) if groups[a[:LEADING]] * every > BUCKET else (a[:LEADING], BEFORE) for a, h in picked})
     shared = spark.sparkContext.broadcast(cuts)  # one of LENGTH bytes for every bucket
 
     @F.pandas_udf("int")
