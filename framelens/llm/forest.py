@@ -46,6 +46,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 32, 8
 TARGET = 0.9999
+#: Share of the documents with a partner that must have met one, by the estimate on the data.
+RECALL = 0.999
 SKETCH = 128
 #: An estimate by a sketch is off by more than this many deviations once in 100,000 times.
 MARGIN = 4.3
@@ -272,7 +274,7 @@ def candidates(reps: DataFrame) -> DataFrame:
         per = stored(found.where("b1 is null").select(F.col("a1").alias("doc_id"), F.col("a2").alias("_tid"), "tree").distinct().groupBy(*IDS).agg(F.count(F.lit(1)).alias("met")))
         met = [tuple(r) for r in per.groupBy("met").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most TREES rows
         seen = sum(n for _, n in met)
-        if depth == 1 or seen >= TARGET * (seen + unseen(met)):
+        if depth == 1 or seen >= RECALL * (seen + unseen(met)):
             break
         depth, only = depth - 1, reps.select(*IDS).join(per.where("met > 1"), IDS, "left_anti")
     node = lambda side: F.struct(F.col(f"{side}1").alias("doc_id"), F.col(f"{side}2").alias("_tid")).alias(side)

@@ -150,6 +150,28 @@ def test_depth_reaches_the_target():
     assert 1 - (1 - 0.8**depth) ** forest.TREES >= forest.TARGET > 1 - (1 - 0.8 ** (depth + 1)) ** forest.TREES
 
 
+def test_recall_on_a_table(spark):
+    """All links of the small table, against brute force on the whole texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    want, got = brute_links(rows), {r["doc_id"]: (r["class_id"], r["n_links"]) for r in forest.near_duplicates(docs).collect()}
+    total, found = sum(n for _, _, n in want), sum(got[i][1] for i, _, _ in want)
+    assert total > 50 and found >= 0.99 * total
+    assert sum(got[i][0] == c for i, c, _ in want) >= 0.99 * len(want)
+
+
+def test_recall_estimate_shortens_prefixes(spark, monkeypatch):
+    """With one tree few pairs meet at first; the estimate asks for shorter prefixes."""
+    assert forest.unseen([(1, 10), (2, 4)]) == 10 * 9 / (2 * 5) and forest.unseen([(3, 10)]) == 0
+    depths = []
+    plain = forest._candidates
+    monkeypatch.setattr(forest, "unseen", lambda met: 5.0 if len(depths) < 3 else 0.0)
+    monkeypatch.setattr(forest, "_candidates", lambda reps, depth, *more: depths.append(depth) or plain(reps, depth, *more))
+    rows = corpus()
+    assert collected(forest.near_duplicates(frame(spark, rows))) == sorted(brute_links(rows), key=str)
+    assert depths == [6, 5, 4]
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     chain = [(i, i + 1) for i in range(100, 160)]
