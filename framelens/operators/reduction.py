@@ -176,36 +176,54 @@ def generalized(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, inverse.T @ vectors
 
 
+def _inverse(m: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.inv(m)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(m)
+
+
 def fit_mhlda(s: Scatter, k: int | None = 2, regularization: float = 1e-4) -> Reduction:
+    """Classes of one row count neither within nor between; where the problem cannot be solved, the leading right singular vectors of the rows."""
     _two_classes(s)
-    eye = np.eye(s.means.shape[1])
-    within = sum(n / s.total * np.linalg.inv(m + regularization * eye) for n, m in zip(s.n, s.scatters, strict=True) if n >= 2)
-    values, vectors = generalized(s.between, within + 1e-9 * eye)
+    eye, some = np.eye(s.means.shape[1]), s.n >= 2
+    within = sum((n / s.total * _inverse(m + regularization * eye) for n, m in zip(s.n[some], s.scatters[some], strict=True)), 0 * eye)
+    d = s.means[some] - s.grand
+    try:
+        values, vectors = generalized((d * s.n[some, None]).T @ d, within + 1e-9 * eye)
+    except np.linalg.LinAlgError:
+        values, vectors = _descending(*np.linalg.eigh(s.within + s.between + s.total * np.outer(s.grand, s.grand)))
     n = _capped(s, k, np.where(values > 0, values, 0.0), 2)
     return Reduction(signed(vectors[:, :n] / np.linalg.norm(vectors[:, :n], axis=0)), values[:n])
 
 
-def descend(w: np.ndarray, within: np.ndarray, deltas: np.ndarray, weights: np.ndarray, rate: float, steps: int, patience: int, tolerance: float, epsilon: float, every: int) -> np.ndarray:
-    """Gradient descent of the summed ratios of within-class to pairwise spread over orthonormal matrices."""
+def descend(w: np.ndarray, within: np.ndarray, deltas: np.ndarray, weights: np.ndarray, rate: float, steps: int, patience: int, tolerance: float, epsilon: float, every: int, least: float = 0.0) -> np.ndarray:
+    """Gradient descent of the weighted sum of ratios of within-class to pairwise spread, kept near orthonormal matrices.
+
+    deltas: differences of class means, one row a pair; pairs whose spread is at most least
+    are left out. The gradient's norm is held to 1; every some steps w is made orthonormal.
+    """
     last, calm = None, 0
     for step in range(steps):
         sw = within @ w
         a = float((w * sw).sum())
         seen = deltas @ w
-        b = (seen * seen).sum(1) + epsilon
-        value = float((weights * a / b).sum())
-        slope = 2 * sw * (weights / b).sum() - 2 * a * deltas.T @ (seen * (weights / b**2)[:, None])
+        spread = (seen * seen).sum(1)
+        own = np.where(spread > least, weights, 0.0) if least else weights
+        b = spread + epsilon
+        value = float((own * a / b).sum())
+        slope = 2 * sw * (own / b).sum() - 2 * a * deltas.T @ (seen * (own / b**2)[:, None])
         size = np.linalg.norm(slope)
         if size > 1:
             slope = slope / size
         w = w - rate * (slope - w @ slope.T @ w)
-        if step % every == 0:
-            w = np.linalg.qr(w)[0]
         calm = calm + 1 if last is not None and abs(value - last) < tolerance else 0
         if calm >= patience:
             break
         last = value
-    return np.linalg.qr(w)[0]
+        if step % every == 0:
+            w = np.linalg.qr(w)[0]
+    return w
 
 
 def _pairwise(s: Scatter) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +231,7 @@ def _pairwise(s: Scatter) -> tuple[np.ndarray, np.ndarray]:
     return s.means[g] - s.means[h], s.n[g] * s.n[h]
 
 
-def _heteroscedastic(s: Scatter, within, start, k, normalize, center, rate, steps, patience, tolerance, epsilon, every) -> Reduction:
+def _heteroscedastic(s: Scatter, within, start, k, normalize, center, rate, steps, patience, tolerance, epsilon, every, least=0.0) -> Reduction:
     _two_classes(s)
     scale = s.norms if normalize else np.ones(s.means.shape[1])
     shift = s.grand if center else None
@@ -222,8 +240,7 @@ def _heteroscedastic(s: Scatter, within, start, k, normalize, center, rate, step
     sw = within(t)
     values, vectors = start(t, sw, (deltas * weights[:, None]).T @ deltas)
     n = _capped(s, k, np.clip(values, 0, None))
-    w = np.linalg.qr(vectors[:, :n])[0]
-    w = descend(w, sw, deltas, weights / weights.sum(), rate, steps, patience, tolerance, epsilon, every)
+    w = descend(vectors[:, :n], sw, deltas, weights, rate, steps, patience, tolerance, epsilon, every, least)
     return Reduction(signed(w) / scale[:, None], values[:n], shift)
 
 
@@ -233,7 +250,7 @@ def fit_zhlda(s: Scatter, k: int | None = 2, rate: float = 1e-4, steps: int = 20
         order = np.argsort(-np.abs(values))
         return np.abs(values[order]), np.real(vectors[:, order])
 
-    return _heteroscedastic(s, lambda t: t.within, start, k, normalize, center, rate, steps, patience, tolerance, 1e-8, 20)
+    return _heteroscedastic(s, lambda t: t.within, start, k, normalize, center, rate, steps, patience, tolerance, 1e-8, 20, 1e-12)
 
 
 def fit_gdhlda(s: Scatter, k: int | None = 2, rate: float = 1e-4, steps: int = 2000, patience: int = 50, tolerance: float = 1e-6, normalize: bool = True, center: bool = False) -> Reduction:

@@ -125,8 +125,9 @@ def projection_loss(right: float, chosen: np.ndarray, r: np.ndarray, alpha: floa
     dimensions = chosen.shape[1]
     loss = alpha * (1 - right) + (1 - alpha) * chosen.mean()
     redundancy = ((r * r).sum() - dimensions) / (dimensions * (dimensions - 1)) if dimensions > 1 else 0.0
-    overlap = (chosen.sum(1) > 1).sum() / chosen.size
-    return float(np.clip((1 - weight) * loss + weight * (0.7 * redundancy + 0.3 * overlap), 0, 1))
+    used = chosen.sum(1)  # how many dimensions use each feature
+    overlap = used[used > 1].sum() / chosen.size if dimensions > 1 else 0.0
+    return float((1 - weight) * loss + weight * (0.7 * redundancy + 0.3 * overlap))
 
 
 def swarm(evaluate: Callable[[np.ndarray], np.ndarray], size: int, particles: int, steps: int, seed: int = 42, w: float = 0.729, c1: float = 1.49445, c2: float = 1.49445) -> tuple[np.ndarray, float]:

@@ -52,9 +52,11 @@ def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def random_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """At most n rows, evenly at random, the same again for the same rows and seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns)).limit(n)
+def random_sample(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
+    """At most n rows, evenly at random by a digest of seed and key (all columns), the same again for the same rows and seed."""
+    key = list(key or df.columns)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]).cast("binary"))
+    return df.orderBy(digest, *key).limit(n)
 
 
 def finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -157,3 +159,57 @@ def unioned(parts: Sequence[DataFrame], labels: Sequence | None = None, name: st
     for p in tagged[1:]:
         out = out.unionByName(p)
     return out
+
+
+FRAME_KEY = ("construct", "subconstruct", "replica", "frame_number")
+
+
+def aligned(left: DataFrame, right: DataFrame, key: Sequence[str] = FRAME_KEY) -> DataFrame:
+    """Rows of left beside the rows of right of the same frame; columns of right that left has too are left out."""
+    own = [c for c in right.columns if c in key or c not in left.columns]
+    return left.join(right.select(*own), [*key])
+
+
+def with_column_of(df: DataFrame, other: DataFrame, column: str, key: Sequence[str] = FRAME_KEY) -> DataFrame:
+    """df with a column of other by frame, null where other has no such frame; other has a frame once."""
+    return df.drop(column).join(other.select(*key, column), [*key], "left")
+
+
+def among(df: DataFrame, chosen: DataFrame, key: Sequence[str] = FRAME_KEY) -> DataFrame:
+    """Rows of df whose key is in chosen."""
+    return df.join(chosen.select(*key), [*key], "left_semi")
+
+
+def not_among(df: DataFrame, gone: DataFrame, key: Sequence[str] = FRAME_KEY) -> DataFrame:
+    """Rows of df whose key is not in gone."""
+    return df.join(gone.select(*key), [*key], "left_anti")
+
+
+def class_pairs(df: DataFrame, target: str) -> DataFrame:
+    """a, b: every pair of different classes once, the smaller first."""
+    classes = df.select(target).where(F.col(target).isNotNull()).distinct()
+    return classes.select(F.col(target).alias("a")).join(classes.select(F.col(target).alias("b")), F.col("a") < F.col("b"))
+
+
+def products(first: DataFrame, second: DataFrame, separator: str = " | ") -> DataFrame:
+    """Every combination of two small lists (one column each), with its name."""
+    a, b = first.columns[0], second.columns[0]
+    return first.distinct().crossJoin(F.broadcast(second.distinct())).withColumn("name", F.concat(a, F.lit(separator), b))
+
+
+def distinct_in_order(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str], out: str) -> DataFrame:
+    """by and the different values of each group, in the order in which they come first."""
+    firsts = df.groupBy(*by, value).agg(F.min(F.struct(*order)).alias("_at"))
+    listed = F.array_sort(F.collect_list(F.struct("_at", F.col(value).alias("_v"))))
+    return firsts.groupBy(*by).agg(F.transform(listed, lambda x: x["_v"]).alias(out))
+
+
+def united(parts: Sequence[DataFrame]) -> DataFrame:
+    """The different rows of all parts (UNION)."""
+    return unioned(parts).distinct()
+
+
+def ranked_grid(df: DataFrame, parameters: Sequence[str], value: str) -> DataFrame:
+    """Mean of value and rows for every combination of parameters, the best first by rank; one row per combination."""
+    rows = df.groupBy(*parameters).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean"), *parameters)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelens.functions import features as X
@@ -112,9 +111,9 @@ def o28_head_sample(spark, sf_dir):
     return T.head(trajectories(spark, sf_dir), ORDER, 500).select("event_id", "value")
 
 
-@query()
+@query("select event_id, value from events order by md5('42:' || event_id::VARCHAR), event_id limit 2000")
 def o29_random_sample(spark, sf_dir):
-    return T.random_sample(table(spark, sf_dir, "events").select("event_id", "value"), 2000)
+    return T.random_sample(table(spark, sf_dir, "events").select("event_id", "value"), 2000, key=["event_id"])
 
 
 @query("select event_id, value from events where value is not null and not isnan(value) and abs(value) < 'infinity'::DOUBLE")
@@ -122,10 +121,10 @@ def o30_finite(spark, sf_dir):
     return T.finite(table(spark, sf_dir, "events").select("event_id", "value"), ["value"])
 
 
-@query("select l_orderkey, array_to_string(list_sort(list(distinct l_suppkey)), ',') as suppliers from lineitem group by l_orderkey")
+@query("select l_orderkey, string_agg(l_suppkey, ',' order by l_linenumber) as suppliers from (select l_orderkey, l_suppkey, min(l_linenumber) as l_linenumber from lineitem group by 1, 2) group by l_orderkey")
 def o31_distinct_names(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("all"))
-    return rows.select("l_orderkey", F.array_join(F.array_sort(F.array_distinct("all")), ",").alias("suppliers"))
+    rows = T.distinct_in_order(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_suppkey", ["l_linenumber"], "suppliers")
+    return rows.select("l_orderkey", F.array_join("suppliers", ",").alias("suppliers"))
 
 
 _CORR = "corr({a}, {b})"
@@ -196,38 +195,37 @@ def o62_best(spark, sf_dir):
 
 @query("select o_orderkey, l_linenumber, o_orderstatus, l_quantity from orders join lineitem on o_orderkey = l_orderkey")
 def o63_aligned_join(spark, sf_dir):
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "o_orderstatus", "l_quantity")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey"), "o_orderstatus")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    return T.aligned(li, o, ["o_orderkey"]).select("o_orderkey", "l_linenumber", "o_orderstatus", "l_quantity")
 
 
 @query("select d.doc_id, l.quality from documents d left join labels l using (doc_id)")
 def o64_assign_column(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return T.with_column_of(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "quality", ["doc_id"])
 
 
 @query("select l_orderkey, l_linenumber from lineitem where l_partkey in (select p_partkey from part where p_size > 25)")
 def o65_selected_features(spark, sf_dir):
     chosen = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf_dir, "lineitem").join(chosen, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber")
+    return T.among(table(spark, sf_dir, "lineitem"), chosen, ["l_partkey"]).select("l_orderkey", "l_linenumber")
 
 
 @query("select l_orderkey, l_linenumber from lineitem where l_partkey not in (select p_partkey from part where p_size > 25)")
 def o66_excluded_features(spark, sf_dir):
     gone = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf_dir, "lineitem").join(gone, "l_partkey", "left_anti").select("l_orderkey", "l_linenumber")
+    return T.not_among(table(spark, sf_dir, "lineitem"), gone, ["l_partkey"]).select("l_orderkey", "l_linenumber")
 
 
 @query("with c as (select distinct label from embeddings) select a.label as a, b.label as b from c a join c b on a.label < b.label")
 def o67_class_pairs(spark, sf_dir):
-    c = table(spark, sf_dir, "embeddings").select("label").distinct()
-    return c.select(F.col("label").alias("a")).join(c.select(F.col("label").alias("b")), F.col("a") < F.col("b"))
+    return T.class_pairs(table(spark, sf_dir, "embeddings"), "label")
 
 
 @query("select a.o_orderpriority as feature_selection, b.c_mktsegment as dimensionality_reduction, a.o_orderpriority || ' | ' || b.c_mktsegment as name from (select distinct o_orderpriority from orders) a, (select distinct c_mktsegment from customer) b")
 def o68_config_product(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("feature_selection")).distinct()
-    b = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("dimensionality_reduction")).distinct()
-    return a.crossJoin(b).withColumn("name", F.concat("feature_selection", F.lit(" | "), "dimensionality_reduction"))
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("feature_selection"))
+    return T.products(a, table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("dimensionality_reduction")))
 
 
 @query("select c_custkey as id, c_acctbal as balance from customer union all select s_suppkey, s_acctbal from supplier")
@@ -238,7 +236,7 @@ def o69_concatenated(spark, sf_dir):
 
 @query("select c_nationkey as key from customer union select s_nationkey from supplier")
 def o70_feature_union(spark, sf_dir):
-    return T.unioned([table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"))]).distinct()
+    return T.united([table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"))])
 
 
 @query("with p as (select value, lead(value, 5) over (partition by user_id order by ts, event_id) as later, user_id from events), m as (select * from p where later is not null), a as (select avg(value) as a, avg(later) as b from m) select count(*) as n, round(avg((value - a) * (later - b)), 4) as covariance from m, a")
@@ -285,9 +283,8 @@ def o25_parsed_names(spark, sf_dir):
 
 @query("with s as (select event_type, (user_id % 3)::INT as g, avg(value) as v, count(*) as n from events group by 1, 2) select event_type, g, n, round(v, 6) as mean, row_number() over (order by v desc, event_type, g)::INT as rank from s")
 def o96_grid_search(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 3).cast("int").alias("g")).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean"), "event_type", "g")))
-    return ranked.select("event_type", "g", "n", F.round("mean", 6).alias("mean"), "rank")
+    rows = table(spark, sf_dir, "events").withColumn("g", (F.col("user_id") % 3).cast("int"))
+    return rounded(T.ranked_grid(rows, ["event_type", "g"], "value"), "mean")
 
 
 @query("select l_returnflag, count(*) as n_frames, 4 as n_features, round(avg(l_quantity), 6) as mean_quantity from lineitem group by 1")

@@ -261,3 +261,57 @@ def test_a_stored_step_is_made_again_for_other_rows(spark, tmp_path):
     spark.range(7).coalesce(1).write.parquet(str(tmp_path / "more"))
     next((tmp_path / "more").glob("part-*")).rename(name.with_name("part-99999-more.parquet"))
     assert step() == 1008
+
+
+def test_projection_loss_by_hand():
+    """Two dimensions, the first feature in both: its two uses count as overlap."""
+    chosen = np.array([[1.0, 1.0], [0.0, 1.0], [0.0, 0.0]])
+    r = np.array([[1.0, 0.5], [0.5, 1.0]])
+    want = 0.8 * (0.9 * 0.25 + 0.1 * 3 / 6) + 0.2 * (0.7 * 0.25 + 0.3 * 2 / 6)
+    assert abs(selection.projection_loss(0.75, chosen, r, 0.9, 0.2) - want) < 1e-12
+
+
+def loop_descent(w, within, means, n, rate, steps, patience, tolerance, epsilon, every, least):
+    """The descent pair by pair, with the matrices of every pair spelt out."""
+    pairs = [(np.outer(means[g] - means[h], means[g] - means[h]), n[g] * n[h]) for g in range(len(n)) for h in range(g + 1, len(n))]
+    last, calm = float("inf"), 0
+    for step in range(steps):
+        a, value, slope = np.trace(w.T @ within @ w), 0.0, np.zeros_like(w)
+        for between, weight in pairs:
+            b = np.trace(w.T @ between @ w)
+            if b > least:
+                b += epsilon
+                value += weight * a / b
+                slope += 2 * weight / b * within @ w - 2 * weight * a / b**2 * between @ w
+        slope /= max(1.0, np.linalg.norm(slope))
+        w = w - rate * (slope - w @ slope.T @ w)
+        calm = calm + 1 if abs(last - value) < tolerance else 0
+        if calm >= patience:
+            return w
+        last = value
+        if step % every == 0:
+            w = np.linalg.qr(w)[0]
+    return w
+
+
+@pytest.mark.parametrize(("epsilon", "every", "least"), [(1e-8, 20, 1e-12), (1e-10, 25, 0.0)])
+def test_descent_equals_loops(epsilon, every, least):
+    rng = np.random.default_rng(4)
+    means, n = rng.normal(size=(4, 5)), np.array([10.0, 20.0, 5.0, 8.0])
+    half = rng.normal(size=(5, 5))
+    w, g = rng.normal(size=(5, 2)), np.triu_indices(4, 1)
+    got = reduction.descend(w, half @ half.T, means[g[0]] - means[g[1]], n[g[0]] * n[g[1]], 1e-3, 90, 5, 1e-9, epsilon, every, least)
+    assert np.allclose(got, loop_descent(w, half @ half.T, means, n, 1e-3, 90, 5, 1e-9, epsilon, every, least), atol=1e-8)
+
+
+def test_mhlda_leaves_single_rows_out():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(41, 4)) + np.repeat([0, 2, 9], [20, 20, 1])[:, None] * np.array([1, 0, 0.5, 0]), np.repeat([0, 1, 2], [20, 20, 1])
+    means = np.array([x[y == c].mean(0) for c in range(3)])
+    scatters = np.array([(x[y == c] - means[c]).T @ (x[y == c] - means[c]) for c in range(3)])
+    fit = reduction.fit_mhlda(reduction.Scatter([0, 1, 2], np.array([20.0, 20.0, 1.0]), means, scatters), 3)
+    within = sum(20 / 41 * np.linalg.inv(scatters[c] + 1e-4 * np.eye(4)) for c in range(2)) + 1e-9 * np.eye(4)
+    between = sum(20 * np.outer(means[c] - x.mean(0), means[c] - x.mean(0)) for c in range(2))
+    assert fit.matrix.shape == (4, 2)
+    v = fit.matrix[:, 0]
+    assert np.allclose(between @ v, fit.values[0] * within @ v, rtol=1e-6, atol=1e-6)
