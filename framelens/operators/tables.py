@@ -198,7 +198,7 @@ def products(first: DataFrame, second: DataFrame, separator: str = " | ") -> Dat
 
 
 def distinct_in_order(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str], out: str) -> DataFrame:
-    """by and the different values of each group, in the order in which they come first."""
+    """by and the different values of each group, in the order in which they come first, equal places by value."""
     firsts = df.groupBy(*by, value).agg(F.min(F.struct(*order)).alias("_at"))
     listed = F.array_sort(F.collect_list(F.struct("_at", F.col(value).alias("_v"))))
     return firsts.groupBy(*by).agg(F.transform(listed, lambda x: x["_v"]).alias(out))

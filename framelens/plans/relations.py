@@ -121,7 +121,7 @@ def o30_finite(spark, sf_dir):
     return T.finite(table(spark, sf_dir, "events").select("event_id", "value"), ["value"])
 
 
-@query("select l_orderkey, string_agg(l_suppkey, ',' order by l_linenumber) as suppliers from (select l_orderkey, l_suppkey, min(l_linenumber) as l_linenumber from lineitem group by 1, 2) group by l_orderkey")
+@query("select l_orderkey, string_agg(l_suppkey, ',' order by l_linenumber, l_suppkey) as suppliers from (select l_orderkey, l_suppkey, min(l_linenumber) as l_linenumber from lineitem group by 1, 2) group by l_orderkey")
 def o31_distinct_names(spark, sf_dir):
     rows = T.distinct_in_order(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_suppkey", ["l_linenumber"], "suppliers")
     return rows.select("l_orderkey", F.array_join("suppliers", ",").alias("suppliers"))
