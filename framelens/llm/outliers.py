@@ -138,6 +138,7 @@ def _subset(rows: DataFrame) -> DataFrame:
 
 def _shrunk(sums: DataFrame) -> DataFrame:
     """sums with those of PRIOR typical documents added: of the language, itself joined by as many of the table."""
+    sums = stored(sums)  # read three times below
     borrowed = lambda c: f"{c} + {float(PRIOR)} * _u{c} / _u_c"
     whole, languages = _added(sums, ["_start"], "_u"), _added(sums, ["_l", "_start"])
     languages = languages.join(F.broadcast(whole), "_start").selectExpr("_l", "_start", *[f"{borrowed(c)} as _u{c}" for c in SUMS])  # one row per start
