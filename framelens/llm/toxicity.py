@@ -124,8 +124,12 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"feature": used.astype(np.int32), "clean": counts[0, used].astype(np.int64), "toxic": counts[1, used].astype(np.int64)})
 
 
-def log_count_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int, smoothing: float = 1.0) -> np.ndarray:
-    return np.log((toxic + smoothing) / (n_toxic + 2 * smoothing)) - np.log((clean + smoothing) / (n_clean + 2 * smoothing))
+#: Added to both shares of a feature, so that n-grams which few texts hold have ratios near 0 whichever label is rarer.
+SMOOTHING = 0.03
+
+
+def log_count_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int, smoothing: float = SMOOTHING) -> np.ndarray:
+    return np.log(toxic / n_toxic + smoothing) - np.log(clean / n_clean + smoothing)
 
 
 def logistic(found: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, epochs: int = 10, rate: float = 20.0, batch: int = 32, seed: int = 7) -> tuple[np.ndarray, float]:
