@@ -14,8 +14,8 @@ similarity of their sets is at least 0.8.
    which documents may be similar, and only edges leave the task.
 4. The prefix is first shortened to where a pair right at the threshold meets in some tree
    with the target probability (``prefix_depth``). Then the recall on these data is
-   estimated from how many documents met a similar one in one and in two trees only
-   (``unseen``), and while it is below the target, prefixes of the documents that met in no
+   estimated from how many documents met a surely similar one (``MET``) in one and in two
+   trees only (``unseen``), and while it is below the target, prefixes of the documents that met in no
    or one tree are shortened further.
 5. Components of the edges are families: whatever may be linked is in one. Only the texts of
    families are shuffled. Families are cut into blocks of about ``BLOCK``, every two blocks
@@ -53,6 +53,9 @@ SKETCH = 128
 MARGIN = 4.3
 #: Estimated similarity from which a document is led by another one.
 LED = 0.9
+#: Estimate from which a document counts as met: two deviations above the threshold. Pairs below the
+#: threshold meet in few trees by right, and would look like missed ones if the noise let them count.
+MET = THRESHOLD + 2 * float(np.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH))
 #: Documents of a prefix that are looked at together, and of a family that are verified together.
 BLOCK = 512
 _RANDOM = np.random.default_rng(7)
@@ -210,9 +213,11 @@ def _climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     own = own[1:][near < LED]
                 going += own.tolist()
             leaders = np.array(sorted(going))
-        near = alike(sketch[leaders], sketch[leaders])
-        np.fill_diagonal(near, 0.0)
-        met[leaders[(near >= THRESHOLD).any(1)]] = True
+        near = alike(sketch[leaders], sketch)
+        near[np.arange(len(leaders)), leaders] = 0.0
+        # Who is led counts as well: a leader has met those that others lead.
+        met[leaders[(near >= MET).any(1)]] = True
+        near = near[:, leaders]
         links = near >= needed(radius[leaders], radius[leaders])
         out += [(*ids[leaders[a]].tolist(), *ids[leaders[b]].tolist(), tree, None, None, None) for a, b in spanning(ids[leaders], links & (near > 0))]
         out += [(*ids[k].tolist(), None, None, tree, None, None, None) for k in np.flatnonzero(met)]
