@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import fingerprints, forest, mixing, outliers, packing, quality, secrets, suffixes, superkmers, toxicity
+from framelens.llm import alignment, fingerprints, forest, mixing, outliers, packing, quality, secrets, suffixes, superkmers, toxicity
 from framelens.llm.common import read_table
 
 
@@ -50,6 +50,12 @@ def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.remove_seen_windows(read_table(spark, sf_dir, "documents"))
 
 
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(read_table(spark, sf_dir, "documents"), public_tokenizers.path(alignment.BYTE_VOCABULARY), public_tokenizers.path(alignment.PIECE_VOCABULARY))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_sequences, op2_suffix_array, op3_spot_signatures, op4_mix_sources, op5_factorisation_machine, op6_secret_scan, op7_lsh_forest, op8_toxicity, op9_robust_outliers, op10_super_kmers, pipeline)}
+    return {f.__name__: f for f in (op1_pack_sequences, op2_suffix_array, op3_spot_signatures, op4_mix_sources, op5_factorisation_machine, op6_secret_scan, op7_lsh_forest, op8_toxicity, op9_robust_outliers, op10_super_kmers, op12_align_tokenizers, pipeline)}
 
 
 def oracle_sql() -> dict:
