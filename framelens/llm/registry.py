@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import alignment, fingerprints, forest, mixing, negatives, outliers, packing, quality, secrets, suffixes, superkmers, toxicity
+from framelens.llm import alignment, fingerprints, forest, licenses, mixing, negatives, outliers, packing, quality, secrets, suffixes, superkmers, toxicity
 from framelens.llm.common import read_table
 
 
@@ -50,6 +50,10 @@ def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.remove_seen_windows(read_table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,8 +71,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack_sequences, op2_suffix_array, op3_spot_signatures, op4_mix_sources, op5_factorisation_machine, op6_secret_scan, op7_lsh_forest, op8_toxicity, op9_robust_outliers, op10_super_kmers, op12_align_tokenizers, op13_hard_negatives, pipeline)}
+    return {f.__name__: f for f in (op1_pack_sequences, op2_suffix_array, op3_spot_signatures, op4_mix_sources, op5_factorisation_machine, op6_secret_scan, op7_lsh_forest, op8_toxicity, op9_robust_outliers, op10_super_kmers, op11_license_scan, op12_align_tokenizers, op13_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict:
-    return {"op4_mix_sources": mixing.ORACLE, "op13_hard_negatives": negatives.ORACLE}
+    return {"op4_mix_sources": mixing.ORACLE, "op11_license_scan": licenses.oracle(), "op13_hard_negatives": negatives.ORACLE}
