@@ -21,8 +21,8 @@ inputs of a score.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -40,7 +40,6 @@ THRESHOLD = 0.3
 MAX_FIT = 4000
 EPOCHS = 8
 STATISTICS = 17
-_REPEAT = re.compile(r"(\S+)(?: \1)+(?!\S)")
 
 
 class WordBuckets(dict):
@@ -62,8 +61,10 @@ def structure(text: str, words: list[str], distinct: int, n_chars: float) -> lis
     # One pass counts all characters; those beyond Latin-1 count together as "?".
     counts = np.bincount(np.frombuffer(text.encode("latin-1", "replace"), np.uint8), minlength=256)
     upper, digits = int(counts[65:91].sum() + counts[0xC0:0xDF].sum()), int(counts[48:58].sum())
-    repeated = sum(len(m.group(0)) for m in _REPEAT.finditer(text))
     same = sum(map(str.__eq__, words, words[1:]))
+    # Characters of runs of one word, with a space between each two.
+    runs = ((len(w), sum(1 for _ in run)) for w, run in groupby(words)) if same else ()
+    repeated = sum((length + 1) * times - 1 for length, times in runs if times > 1)
     return [
         np.log1p(n) / 4,
         (size - n + 60.0) / (n + 10.0) / 6,
