@@ -10,7 +10,9 @@ feature that any counted text holds.
 
 The classifier learns from a bounded sample of the labelled rows, those with the smallest
 digest of the id: ratios from at most ``MAX_COUNT`` ids of each label (counted by Spark with
-partial sums), coefficients from at most ``MAX_FIT`` of those. Every whole text is scored.
+partial sums), coefficients from at most ``MAX_FIT`` of those. How far the shares are smoothed is
+chosen within that sample, by the loss of either half under the model of the other. Every
+whole text is scored.
 
 Defined results: a null text is empty and is scored by the intercept alone; labels of null
 are not used; of documents that share a labelled id one is learnt from; without labels of
@@ -116,22 +118,50 @@ class Model:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts, features = np.zeros((2, 1 << BITS), np.int32), Features()
+    """Texts that hold each feature, by half of the sample and label."""
+    counts, features = np.zeros((4, 1 << BITS), np.int32), Features()
     for batch in batches:
-        for text, label in zip(batch["text"], batch["label"], strict=True):
-            counts[int(label)][features(text)] += 1
+        for text, label, half in zip(batch["text"], batch["label"], batch["half"], strict=True):
+            counts[2 * int(half) + int(label)][features(text)] += 1
     used = np.flatnonzero(counts.any(0))
-    yield pd.DataFrame({"feature": used.astype(np.int32), "clean": counts[0, used].astype(np.int64), "toxic": counts[1, used].astype(np.int64)})
+    yield pd.DataFrame({"feature": used.astype(np.int32)} | {c: counts[k, used] for k, c in enumerate(COUNTS)})
 
 
-#: Added to both shares of a feature, so that n-grams which few texts hold have ratios near 0 whichever label is rarer.
-SMOOTHING = 0.03
+#: Columns of counts: half and label.
+COUNTS = ("clean0", "toxic0", "clean1", "toxic1")
+#: What is added to both shares of a feature, so that n-grams which few texts hold have ratios near 0 whichever label is rarer: one of these.
+SMOOTHINGS = (0.001, 0.003, 0.01, 0.03, 0.1)
+#: Rows of each label and half that a smoothing is judged by, at most.
+MAX_CHOICE = 600
 
 
-def log_count_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int, smoothing: float = SMOOTHING) -> np.ndarray:
+def log_count_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int, smoothing: float) -> np.ndarray:
     return np.log(toxic / n_toxic + smoothing) - np.log(clean / n_clean + smoothing)
 
 
+def log_loss(found: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, w: np.ndarray, b: float) -> float:
+    """Mean negative log likelihood of rows, the two labels weighing alike."""
+    z = np.array([(w[f] * ratios[f]).sum() / max(float((ratios[f] ** 2).sum()), 1e-12) ** 0.5 + b for f in found])
+    loss = np.logaddexp(0, np.where(labels == 1, -z, z))
+    return float(sum(loss[labels == k].mean() for k in (0, 1)))
+
+
+def chosen_smoothing(counts: np.ndarray, totals: np.ndarray, found: list[np.ndarray], labels: np.ndarray, half: np.ndarray) -> float:
+    """The smoothing whose models of one half have the least loss on the other. counts, totals: by half and label."""
+    if (totals == 0).any() or any(not ((half == h) & (labels == k)).any() for h in (0, 1) for k in (0, 1)):
+        return SMOOTHINGS[len(SMOOTHINGS) // 2]  # a half without a label can't judge
+    few = {h: np.concatenate([np.flatnonzero((half == h) & (labels == k))[:MAX_CHOICE] for k in (0, 1)]) for h in (0, 1)}
+    losses = []
+    for smoothing in SMOOTHINGS:
+        loss = 0.0
+        for h in (0, 1):
+            ratios = log_count_ratios(counts[2 * h], counts[2 * h + 1], totals[2 * h], totals[2 * h + 1], smoothing)
+            w, b = logistic([found[i] for i in few[h]], labels[few[h]], ratios)
+            loss += log_loss([found[i] for i in few[1 - h]], labels[few[1 - h]], ratios, w, b)
+        losses.append(loss)
+    return SMOOTHINGS[int(np.argmin(losses))]
+
+
 def logistic(found: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, epochs: int = 10, rate: float = 20.0, batch: int = 32, seed: int = 7) -> tuple[np.ndarray, float]:
     """Coefficients and intercept of a logistic regression on scaled features, the two labels weighing alike.
 
@@ -163,7 +193,7 @@ def logistic(found: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, ep
 def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     features = Features()
     for batch in batches:
-        yield pd.DataFrame({"label": batch["label"], "ids": [features(t).tobytes() for t in batch["text"]]})
+        yield pd.DataFrame({"label": batch["label"], "half": batch["half"], "ids": [features(t).tobytes() for t in batch["text"]]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_count: int = MAX_COUNT) -> Model:
@@ -172,21 +202,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_count: i
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most 2 * max_count ids
     # One row per id, however often ids repeat: combined before the shuffle.
     once = rows.groupBy("_id").agg(F.min(F.struct("label", "_rank", F.coalesce("text", F.lit("")).alias("text"))).alias("row"))
-    labelled = stored(once.select("row.text", F.col("row.label").cast("int").alias("label"), F.col("row._rank").alias("_rank")))
-    totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    clean, toxic = totals.get(0, 0), totals.get(1, 0)
+    half = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(2)).cast("int")
+    labelled = stored(once.select("row.text", F.col("row.label").cast("int").alias("label"), F.col("row._rank").alias("_rank"), half.alias("half")))
+    sizes = {(r["half"], r["label"]): r["n"] for r in labelled.groupBy("half", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = np.array([sizes.get((h, k), 0) for h in (0, 1) for k in (0, 1)])
+    clean, toxic = int(totals[0] + totals[2]), int(totals[1] + totals[3])
     if not clean or not toxic:
         return Model(np.zeros(0, np.int32), np.zeros(0), np.zeros(0), 30.0 if toxic else -30.0)
-    counted = labelled.mapInPandas(_count, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # at most 2**BITS rows
+    counted = labelled.mapInPandas(_count, f"feature int, {', '.join(f'{c} int' for c in COUNTS)}").groupBy("feature").agg(*[F.sum(c).cast("int").alias(c) for c in COUNTS]).toArrow()  # at most 2**BITS rows
     order = np.argsort(counted["feature"].to_numpy())
     ids = counted["feature"].to_numpy()[order]
-    ratios = log_count_ratios(counted["clean"].to_numpy()[order], counted["toxic"].to_numpy()[order], clean, toxic)
-    sample = labelled.where(F.col("_rank") <= max_fit).mapInPandas(_encoded, "label int, ids binary").toArrow()  # at most 2 * max_fit rows
-    rows = sorted(zip(sample["label"].to_pylist(), sample["ids"].to_pylist(), strict=True))
+    counts = np.stack([counted[c].to_numpy()[order] for c in COUNTS])
+    sample = labelled.where(F.col("_rank") <= max_fit).mapInPandas(_encoded, "label int, half int, ids binary").toArrow()  # at most 2 * max_fit rows
+    rows = sorted(zip(sample["label"].to_pylist(), sample["ids"].to_pylist(), sample["half"].to_pylist(), strict=True))
     del sample, counted
     # Features are numbered among those counted, so that the fit is as wide as they are many.
-    found = [np.searchsorted(ids, np.frombuffer(i, np.int32)).astype(np.int32) for _, i in rows]
-    w, b = logistic(found, np.array([k for k, _ in rows], float), ratios)
+    found = [np.searchsorted(ids, np.frombuffer(i, np.int32)).astype(np.int32) for _, i, _ in rows]
+    kinds = np.array([k for k, _, _ in rows], float)
+    smoothing = chosen_smoothing(counts, totals, found, kinds, np.array([h for _, _, h in rows]))
+    ratios = log_count_ratios(counts[0] + counts[2], counts[1] + counts[3], clean, toxic, smoothing)
+    w, b = logistic(found, kinds, ratios)
     return Model(ids, ratios, w, b)
 
 

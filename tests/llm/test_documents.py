@@ -18,6 +18,7 @@ from tests.oracle import connect, differences
 from .fixtures import SCHEMA, corpus, frame, prose, words
 
 PATH = public_tokenizers.path(packing.VOCABULARY)
+SMOOTHING = 0.03
 
 
 def doubled(rows):
@@ -259,7 +260,7 @@ def test_ratios_and_features():
     counts = np.zeros((2, 1 << toxicity.BITS), int)
     for t, k in zip(texts, labels, strict=True):
         counts[k][features(t)] += 1
-    ratios = toxicity.log_count_ratios(counts[0], counts[1], 2, 2)
+    ratios = toxicity.log_count_ratios(counts[0], counts[1], 2, 2, SMOOTHING)
     assert np.allclose(ratios[features("éé")], np.log(0.0 + 0.03) - np.log(0.5 + 0.03))
     own = features("abcd")
     assert np.allclose(ratios[own], 0.0)
@@ -363,3 +364,41 @@ def test_own_columns_stay(spark):
     for made in (secrets.find_secrets(docs), secrets.redact(docs), fingerprints.fingerprints(docs)):
         row = made.first()
         assert row["_found"] == row["_masked"] == row["_made"] == "keep"
+
+
+def test_structure_takes_no_longer_for_one_long_word():
+    import time
+
+    encode = quality.Encoder()
+    began = time.perf_counter()
+    for text in ("x" * 1_000_000, "ab" * 500_000, "漢" * 1_000_000, "a " * 300_000):
+        encode(text, None)
+    assert time.perf_counter() - began < 5
+    a, b = (quality.structure(t, t.split(), len(set(t.split())), 1.0) for t in ("to to to be be or", "to be or to be to"))
+    assert sum(x != y for x, y in zip(a, b, strict=True)) == 2 and a[-4] == 2 * 13 / 37
+
+
+def test_smoothing_is_chosen_by_the_other_half():
+    """Features that one text holds say nothing: the more there are, the more smoothing is chosen; halves without a label choose nothing."""
+    rng = np.random.default_rng(1)
+    n, common = 200, 40
+    labels = np.arange(n) % 2 * 1.0
+    half = np.arange(n) // 2 % 2
+    found = [np.unique(np.concatenate([np.flatnonzero(rng.random(common) < (0.6 if y else 0.4)), common + 20 * i + np.arange(20)])).astype(np.int32) for i, y in enumerate(labels)]
+    counts = np.zeros((4, common + 20 * n), np.int32)
+    for f, y, h in zip(found, labels, half, strict=True):
+        counts[2 * h + int(y)][f] += 1
+    totals = np.array([np.sum((half == h) & (labels == k)) for h in (0, 1) for k in (0, 1)])
+    assert toxicity.chosen_smoothing(counts, totals, found, labels, half) >= 0.03
+    assert toxicity.chosen_smoothing(counts * 0, totals * [1, 0, 1, 1], found, labels, half) == toxicity.SMOOTHINGS[2]
+
+
+def test_held_out_labels_are_never_learnt_from(spark):
+    """Other labels in the held-out rows give the same scores."""
+    rows = frame(spark, corpus())
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 4 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    for score_of, column, held in ((toxicity.toxic_scores, "toxic", fold % 3 == 1), (quality.quality_scores, "quality", fold % 5 == 0)):
+        turned = labels.withColumn(column, F.when(held, 1 - F.col(column)).otherwise(F.col(column)))
+        a, b = (sorted((r["doc_id"], r["score"]) for r in score_of(rows, x).collect() if r["doc_id"] is not None) for x in (labels, turned))
+        assert a == b
