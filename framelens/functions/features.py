@@ -48,7 +48,8 @@ def to_wide(df: DataFrame, names: Sequence[str], features: str = "features") ->
 
 def gather(df: DataFrame, positions: Sequence[int], features: str = "features") -> DataFrame:
     """The array cut down to the given positions, in their order; other columns stay."""
-    return df.withColumn(features, F.array(*[F.get(features, F.lit(int(p))) for p in positions]))
+    places = F.array(*map(F.lit, map(int, positions))) if len(positions) <= 64 else F.from_json(F.lit(str(list(map(int, positions)))), "array<int>")
+    return df.withColumn(features, F.transform(places, lambda p: F.get(features, p))) if len(positions) else df.withColumn(features, F.slice(features, 1, 0))
 
 
 def pair_names(residues: DataFrame, column: str = "residue") -> DataFrame:

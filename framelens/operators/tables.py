@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def by_names(df: DataFrame, **wanted: Sequence[str] | None) -> DataFrame:
-    """Rows whose columns are among the given names; None stands for all. Reaches the scan as a partition or pushed filter."""
+    """Rows whose columns are among the given names; None stands for all. Reaches the scan as a partition or pushed filter, in the frames source too."""
     for column, names in wanted.items():
         if names is not None:
             df = df.where(F.col(column).isin(*names))
