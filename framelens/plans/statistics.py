@@ -121,14 +121,14 @@ _BIN = "case when x <= q[2] then 0 when x <= q[3] then 1 when x <= q[4] then 2 w
 
 @query(f"with {LONG}, {_EDGES}, e as (select pos, unnest(range(0, 6))::INT as k, unnest(q) as edge from q) select pos, k, round(edge, 6) as edge from e")
 def o44_quantile_edges(spark, sf_dir):
-    edges = C.quantile_edges(to_long(embeddings(spark, sf_dir)))
+    edges = C.quantile_edges(embeddings(spark, sf_dir))
     return edges.select("pos", F.posexplode("edges").alias("k", "edge")).select("pos", "k", F.round("edge", 6).alias("edge"))
 
 
 @query(f"with {LONG}, {_EDGES} select pos, ({_BIN})::INT as bin, count(*) as n from long join q using (pos) group by 1, 2")
 def o45_binned(spark, sf_dir):
-    long = to_long(embeddings(spark, sf_dir))
-    return C.binned(long, C.quantile_edges(long)).groupBy("pos", "bin").agg(F.count(F.lit(1)).alias("n"))
+    df = embeddings(spark, sf_dir)
+    return C.binned(to_long(df), C.quantile_edges(df)).groupBy("pos", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
