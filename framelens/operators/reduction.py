@@ -7,15 +7,15 @@ matrix is sent to the data and applied batch by batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelens.operators.grams import TILE, leading_components, rows_of, tiles_of
 from framelens.operators.moments import class_moments
 from framelens.operators.thresholds import components_for
 
@@ -59,12 +59,6 @@ class Scatter:
         return np.where(squares > 0, np.sqrt(np.maximum(squares, 0)), 1.0)
 
 
-def rows_of(column: pa.Array) -> np.ndarray:
-    """Lists of equal length as the rows of a matrix of doubles, without a Python object per row; null becomes NaN."""
-    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
-
-
 def scatter(df: DataFrame, target: str, features: str = "features") -> Scatter:
     """Class counts, means and scatters; rows without a class are left out."""
     df = df.where(F.col(target).isNotNull()).select(target, F.col(features).alias("x"))
@@ -79,26 +73,24 @@ def scatter(df: DataFrame, target: str, features: str = "features") -> Scatter:
     for r in stats:
         c = classes.index(r[target])
         n[c], means[c, r["pos"]] = max(n[c], r["n"]), r["mean"] if r["mean"] is not None else 0.0
-    number = {c: i for i, c in enumerate(classes)}
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(classes), width, width))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = np.array([number[c] for c in batch.column(0).to_pylist()])
-            x = rows_of(batch.column(1))
-            x = np.nan_to_num(x - means[own])
-            for c in np.unique(own):
-                part = x[own == c]
-                sums[c] += part.T @ part
-        c, i, j = np.nonzero(sums)
-        values = [pa.array(v.astype(np.int32)) for v in (c, i, j)]
-        yield pa.RecordBatch.from_arrays([*values, pa.array(sums[c, i, j])], ["c", "i", "j", "v"])
-
-    rows = df.where("x is not null").mapInArrow(partial, "c int, i int, j int, v double").groupBy("c", "i", "j").agg(F.sum("v").alias("v")).toPandas()
+    edge = range(0, width, TILE)
+
+    def products(own: pa.Array, column: pa.Array) -> dict[tuple[int, int], np.ndarray]:
+        number = pc.index_in(own, pa.array(classes, own.type)).to_numpy(zero_copy_only=False)
+        x = np.nan_to_num(rows_of(column) - means[number])
+        out = {}
+        for c in np.unique(number).tolist():
+            part = x[number == c]
+            # The lower triangle mirrors the upper one.
+            out |= {(c, i * len(edge) + j): part[:, a : a + TILE].T @ part[:, b : b + TILE] for i, a in enumerate(edge) for j, b in enumerate(edge) if i <= j}
+        return out
+
     scatters = np.zeros((len(classes), width, width))
-    scatters[rows["c"], rows["i"], rows["j"]] = rows["v"]
+    for r in tiles_of(df.where("x is not null"), [target, "x"], products).collect():  # classes times width squared numbers
+        a, b = (TILE * k for k in divmod(r["j"], len(edge)))
+        tile = np.frombuffer(r["tile"], float).reshape(min(TILE, width - a), -1)
+        scatters[r["i"], a : a + TILE, b : b + TILE] = tile
+        scatters[r["i"], b : b + TILE, a : a + TILE] = tile.T
     return Scatter(classes, n, means, scatters)
 
 
@@ -112,9 +104,14 @@ def project(df: DataFrame, matrix: np.ndarray, shift: np.ndarray | None = None,
     """df with the array of components in place of its features."""
     shift = np.zeros(len(matrix)) if shift is None else shift
 
-    @F.pandas_udf("array<double>")
-    def apply(x: pd.Series) -> pd.Series:
-        return pd.Series(list((np.stack(x.to_numpy()).astype(float) - shift) @ matrix)) if len(x) else pd.Series([], dtype=object)
+    @F.arrow_udf("array<double>")
+    def apply(x: pa.Array) -> pa.Array:
+        missing = np.asarray(x.is_null())
+        if missing.all():
+            return pa.nulls(len(x), pa.list_(pa.float64()))
+        out = (rows_of(x.drop_null()) - shift) @ matrix
+        ends = np.concatenate([[0], np.cumsum(~missing)]).astype(np.int32) * matrix.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()), mask=pa.array(missing))
 
     done = df.withColumn(out, apply(features))
     return done if out == features else done.drop(features)
@@ -125,10 +122,10 @@ def _descending(values: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np
     return values[order], vectors[:, order]
 
 
-def _capped(s: Scatter, k: int | None, values: np.ndarray, least: int = 1) -> int:
-    """Explicit numbers are held to min(features, classes - 1); None means 95 % of the positive values."""
+def _capped(s: Scatter, k: int | None, values: np.ndarray, least: int = 1, ranks: int | None = None) -> int:
+    """Explicit numbers are held to the features and to ranks (classes - 1); None means 95 % of the positive values."""
     if k is not None:
-        return min(k, len(values), len(s.classes) - 1)
+        return min(k, len(values), len(s.classes) - 1 if ranks is None else ranks)
     return max(least, min(components_for(values), len(values)))
 
 
@@ -156,6 +153,15 @@ def fit_pca(s: Scatter, k: int | None = 2, whiten: bool = False) -> Reduction:
     return Reduction(matrix, values[:n], s.grand)
 
 
+def fit_wide_pca(df: DataFrame, features: str = "features", k: int | None = 2, whiten: bool = False, **options) -> Reduction:
+    """Principal components of any number of features, without their scatter; k None means 95 % of the variance."""
+    values, vectors, means, _ = leading_components(df, features, k or 1, 0.95 if k is None else None, **options)
+    matrix = signed(vectors)
+    if whiten:
+        matrix = matrix / np.sqrt(np.maximum(values, 1e-12))
+    return Reduction(matrix, values, means)
+
+
 def fit_flda(s: Scatter, k: int | None = 2, mode: str = "between", regularization: float = 1e-6) -> Reduction:
     """Leading directions of the class means; mode "classical" weighs them by the inverse within-class scatter."""
     _two_classes(s)
@@ -193,7 +199,7 @@ def fit_mhlda(s: Scatter, k: int | None = 2, regularization: float = 1e-4) -> Re
         values, vectors = generalized((d * s.n[some, None]).T @ d, within + 1e-9 * eye)
     except np.linalg.LinAlgError:
         values, vectors = _descending(*np.linalg.eigh(s.within + s.between + s.total * np.outer(s.grand, s.grand)))
-    n = _capped(s, k, np.where(values > 0, values, 0.0), 2)
+    n = _capped(s, k, np.where(values > 0, values, 0.0), 2, len(values))
     return Reduction(signed(vectors[:, :n] / np.linalg.norm(vectors[:, :n], axis=0)), values[:n])
 
 
@@ -238,7 +244,8 @@ def _heteroscedastic(s: Scatter, within, start, k, normalize, center, rate, step
     t = s.scaled(scale, center)
     deltas, weights = _pairwise(t)
     sw = within(t)
-    values, vectors = start(t, sw, (deltas * weights[:, None]).T @ deltas)
+    # The sum over pairs of classes of n_g n_h d d' is the number of rows times the scatter between classes.
+    values, vectors = start(t, sw, t.total * t.between)
     n = _capped(s, k, np.clip(values, 0, None))
     w = descend(vectors[:, :n], sw, deltas, weights, rate, steps, patience, tolerance, epsilon, every, least)
     return Reduction(signed(w) / scale[:, None], values[:n], shift)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelens.operators import grams
+
 
 def by_names(df: DataFrame, **wanted: Sequence[str] | None) -> DataFrame:
     """Rows whose columns are among the given names; None stands for all. Reaches the scan as a partition or pushed filter, in the frames source too."""
@@ -95,10 +97,10 @@ def class_summary(df: DataFrame, target: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str], others: Sequence[str]) -> DataFrame:
-    """feature, component, r of every pair of columns, in one pass; undefined ones are 0."""
-    pairs = [(a, b) for a in columns for b in others]
-    row = df.agg(F.array(*[F.struct(F.lit(a).alias("feature"), F.lit(b).alias("component"), F.coalesce(F.nanvl(F.corr(a, b), F.lit(0.0)), F.lit(0.0)).alias("r")) for a, b in pairs]).alias("all"))
-    return row.select(F.inline("all"))
+    """feature, component, r of every pair of columns, each over the rows that have both; undefined ones are 0."""
+    r = grams.correlations(df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("a"), F.array(*[F.col(c).cast("double") for c in others]).alias("b")), "a", "b")
+    named = lambda names, at: F.element_at(F.array(*map(F.lit, names)), F.col(at) + 1)
+    return r.select(named(columns, "i").alias("feature"), named(others, "j").alias("component"), "r")
 
 
 def top_contributions(r: DataFrame, k: int, by_magnitude: bool = True) -> DataFrame:

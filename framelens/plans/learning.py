@@ -56,6 +56,40 @@ def o76_pca_total_variance(spark, sf_dir):
     return spark.createDataFrame([(float(round(R.fit_pca(s, s.means.shape[1]).values.sum(), 5)),)], "total double")
 
 
+@query()
+def o76_wide_pca(spark, sf_dir):
+    df = embeddings(spark, sf_dir)
+    return _numbers(R.fit_wide_pca(df, k=2)(df), "vec_id", "label")
+
+
+_D = "d as (select l_quantity::DOUBLE as x0, l_extendedprice::DOUBLE as x1, l_discount::DOUBLE as x2, l_tax::DOUBLE as x3, (l_quantity + l_discount) / 2 as y0, (l_extendedprice + l_tax) / 2 as y1 from lineitem)"
+
+
+@query(
+    f"with {_D}, r as ("
+    + " union all ".join(f"select {i} as pos, [corr(x{i}, y0), corr(x{i}, y1)] as r from d" for i in range(4))
+    + """), m as (select greatest(max(abs(y0)), max(abs(y1))) as reach from d)
+    select pos, k::INT as k, round(r[k + 1] * 0.9 * reach, 4) as arrow, round(abs(r[1]) + abs(r[2]), 6) as weight
+    from (select * from r order by abs(r[1]) + abs(r[2]) desc limit 3), m, (select unnest([0, 1]) as k)"""
+)
+def o107_loading_arrows(spark, sf_dir):
+    df = lines(spark, sf_dir)
+    half = np.array([[0.5, 0.0], [0.0, 0.5], [0.5, 0.0], [0.0, 0.5]])
+    both = R.project(df.withColumn("_x", F.col("features")), half, features="_x")
+    return P.loadings(both, top=3).select("pos", F.posexplode("arrow").alias("k", "arrow"), F.round("weight", 6).alias("weight")).withColumn("arrow", F.round("arrow", 4))
+
+
+@query(
+    f"""with {LONG}, v as (select pos from long group by pos order by var_pop(x) desc, pos limit 12), k as (select pos, row_number() over (order by pos) as n from v)
+    select a.pos as pos_i, b.pos as pos_j, round(corr(a.x, b.x), 6) as r from long a join long b using (vec_id) join k ka on ka.pos = a.pos join k kb on kb.pos = b.pos
+    where ka.n < kb.n group by 1, 2"""
+)
+def o107_redundancy(spark, sf_dir):
+    df = embeddings(spark, sf_dir)
+    kept = sorted(r["pos"] for r in M.variances(df).orderBy(F.desc("variance"), "pos").limit(12).collect())
+    return P.redundancy(df, kept).withColumn("r", F.round("r", 6))
+
+
 def _reduction(name):
     def run(spark, sf_dir):
         df = _top(spark, sf_dir)

@@ -16,6 +16,7 @@ from framelens.functions.features import gather
 from framelens.operators import amino as A
 from framelens.operators import clustering as K
 from framelens.operators import contingency as C
+from framelens.operators import grams as G
 from framelens.operators import moments as M
 from framelens.operators import reduction as R
 from framelens.operators import selection as S
@@ -149,6 +150,9 @@ def reduce(df: DataFrame, target: str, features: str, method: str, p: Parameters
     """df with proj, and its number of components."""
     if method not in R.FITS:
         raise ValueError(f"unknown reduction {method!r}: one of {', '.join(REDUCTIONS)}")
+    if method == "pca":
+        fit = R.fit_wide_pca(df, features, p.num_eigenvector)
+        return fit(df, features), fit.matrix.shape[1]
     s = R.scatter(df, target, features)
     descends = method in ("zhlda", "gdhlda")
     options = {"rate": p.learning_rate, "steps": p.num_iteration, "patience": p.stop_crit, "tolerance": p.convergence_threshold} if descends else {}
@@ -213,7 +217,25 @@ def scree(s: R.Scatter) -> list[tuple[int, float, float]]:
     return [(i, float(v), float(c)) for i, (v, c) in enumerate(zip(values, np.cumsum(values) / values.sum(), strict=True))]
 
 
-def loadings(matrix: np.ndarray, top: int = 8) -> list[tuple[int, list[float]]]:
-    """The features of largest summed loading, as arrows of a biplot scaled to 0.9 of the largest."""
-    order = np.argsort(-np.abs(matrix).sum(1), kind="stable")[:top]
-    return [(int(i), (0.9 * matrix[i] / np.abs(matrix).max()).tolist()) for i in order]
+def loadings(df: DataFrame, features: str = "features", proj: str = "proj", top: int = 8, dimensions: int = 3) -> DataFrame:
+    """pos, arrow, weight: the features that correlate most with the first dimensions, as arrows of a biplot.
+
+    weight sums the sizes of a feature's correlations; arrows are these times 0.9 of the largest coordinate of the frames.
+    """
+    df = df.select(features, F.slice(proj, 1, dimensions).alias("_proj"))
+    reach = df.agg(F.max(F.array_max(F.transform("_proj", F.abs))).alias("_reach"))  # one row
+    r = G.correlations(df, features, "_proj").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "r"))).alias("_r"), F.sum(F.abs("r")).alias("weight"))
+    best = r.orderBy(F.desc(F.round("weight", 12)), "i").limit(top).crossJoin(F.broadcast(reach))
+    return best.select(F.col("i").alias("pos"), F.transform("_r", lambda x: x["r"] * 0.9 * F.col("_reach")).alias("arrow"), "weight")
+
+
+def redundancy(df: DataFrame, positions: Sequence[int], features: str = "features") -> DataFrame:
+    """pos_i, pos_j, r: how far each two of the selected features tell the same (pos_i before pos_j in positions)."""
+    r = G.correlations(gather(df, positions, features), features)
+    named = lambda c: F.element_at(F.array(*[F.lit(int(p)) for p in positions]), F.col(c) + 1)
+    return r.select(named("i").alias("pos_i"), named("j").alias("pos_j"), "r")
+
+
+def scatter_points(df: DataFrame, key: Sequence[str], order: Sequence[str], target: str, proj: str = "proj", dimensions: int = 3, stride: int = 20) -> DataFrame:
+    """key, order, target and the first dimensions of every stride-th frame of each trajectory: the points of a biplot."""
+    return T.stride(df, key, order, stride).select(*key, *order, target, F.slice(proj, 1, dimensions).alias(proj))
