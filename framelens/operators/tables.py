@@ -148,12 +148,6 @@ def block_labels(df: DataFrame, key: Sequence[str], order: Sequence[str], size:
     return df.withColumn("class", (F.floor(n / size) % classes + first).cast("int"))
 
 
-def lagged(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, lag: int) -> DataFrame:
-    """df with later: the value lag frames on in the same trajectory; frames without one are left out."""
-    later = F.lead(value, lag).over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("later", later).where(F.col("later").isNotNull())
-
-
 def unioned(parts: Sequence[DataFrame], labels: Sequence | None = None, name: str = "class") -> DataFrame:
     """All rows of all parts (UNION ALL), each with its label if labels are given."""
     tagged = [p.withColumn(name, F.lit(v)) for p, v in zip(parts, labels, strict=True)] if labels is not None else list(parts)

@@ -194,7 +194,7 @@ def o71_mixture_states(spark, sf_dir):
 
 @query()
 def o72_bic_curve(spark, sf_dir):
-    return K.mixture_states(_top(spark, sf_dir, 8), ["vec_id"], steps=0)[1]
+    return K.mixture_states(_top(spark, sf_dir, 8), ["vec_id"], starts=0)[1].drop("converged")
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelens.functions import features as X
+from framelens.operators import clustering as K
 from framelens.operators import moments as M
 from framelens.operators import tables as T
 from framelens.plans.registered import LONG, query, table
@@ -241,7 +242,7 @@ def o70_feature_union(spark, sf_dir):
 
 @query("with p as (select value, lead(value, 5) over (partition by user_id order by ts, event_id) as later, user_id from events), m as (select * from p where later is not null), a as (select avg(value) as a, avg(later) as b from m) select count(*) as n, round(avg((value - a) * (later - b)), 4) as covariance from m, a")
 def o74_lag_covariance(spark, sf_dir):
-    pairs = T.lagged(trajectories(spark, sf_dir), ["replica"], ORDER, "value", 5)
+    pairs = K.lag_pairs(trajectories(spark, sf_dir), ["replica"], ORDER, "value", 5).select(F.col("x").alias("value"), "later")
     return pairs.agg(F.count(F.lit(1)).alias("n"), F.round(F.covar_pop("value", "later"), 4).alias("covariance"))
 
 

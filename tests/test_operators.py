@@ -232,7 +232,7 @@ def test_states_that_occur_late_are_found(spark):
     out, curve = clustering.mixture_states(df, ["frame_number"], max_k=4, stride=2, sample_rows=60)
     bics = {r["k"]: r["bic"] for r in curve.collect()}
     assert bics[3] < bics[2] - 100
-    for out in (out, clustering.spectral_states(df, ["frame_number"], components=40, max_k=5, sample_rows=100)):
+    for out in (out, clustering.spectral_states(df, ["frame_number"], components=40, max_k=5)):
         late = out.where("class > 0").groupBy("class").agg({"global_cluster_id": "min"}).collect()
         assert len({r[1] for r in late}) == 2
 
