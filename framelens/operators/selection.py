@@ -162,10 +162,18 @@ class Frames:
 
     def accuracies(self, views: list[np.ndarray], bags: int = 0, c: float = 1.0) -> np.ndarray:
         """Mean cross-validated accuracy of one-against-rest classifiers on the frames times each view (width by dimensions)."""
-        if self.folds < 2:
-            return np.zeros(len(views))
+        return self.fitted(views, [None] * len(views), bags, c)[0]
+
+    def fitted(self, views: list[np.ndarray], starts: list[np.ndarray | None], bags: int = 0, c: float = 1.0) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(accuracies, weights by fold, bag, class and dimension) of each view.
+
+        Newton's steps begin at the weights in starts, where there are any. The classifiers have one
+        best fit, so a start changes how many passes it takes, not what is found.
+        """
         shape = (self.folds, max(bags, 1), self.classes)
-        weights = [np.zeros((*shape, v.shape[1] + 1)) for v in views]
+        weights = [np.zeros((*shape, v.shape[1] + 1)) if w is None else w.copy() for v, w in zip(views, starts, strict=True)]
+        if self.folds < 2:
+            return np.zeros(len(views)), weights
         on = [np.ones(shape, bool) for _ in views]
         for _ in range(NEWTON_STEPS):
             rows = self.blocks.mapInPandas(_newton_sums(views, weights, on, bags), "view int, sums binary")
@@ -178,7 +186,7 @@ class Frames:
         hits = self.blocks.mapInPandas(_hits(views, weights), "view int, fold int, hits long").groupBy("view", "fold").agg(F.sum("hits").alias("hits")).toPandas()
         out = np.zeros((len(views), self.folds))
         out[hits["view"], hits["fold"]] = hits["hits"]
-        return (out / self.sizes).mean(1)
+        return (out / self.sizes).mean(1), weights
 
 
 def _unpacked(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
@@ -304,43 +312,89 @@ def packed(df: DataFrame, target: str, features: str, cv: int = 3, sample_rows:
     return Frames(blocks.repartition(df.sparkSession.sparkContext.defaultParallelism).persist(), sizes, s.means.shape[1], len(n), s.within + s.between)
 
 
-def evaluated(loss: Callable[[list[np.ndarray]], np.ndarray], threshold: float = 0.5) -> Callable[[np.ndarray], np.ndarray]:
-    """Evaluates the particles of an iteration together, each different mask once."""
-    known: dict[bytes, float] = {}
+def evaluated(loss: Callable[[list[np.ndarray], list], tuple[np.ndarray, list]], threshold: float = 0.5) -> Callable[[np.ndarray], np.ndarray]:
+    """Evaluates the particles of an iteration together, each different mask once.
+
+    loss gives values and states of masks, from the states that their particles' masks of the
+    iteration before had.
+    """
+    known: dict[bytes, tuple[float, object]] = {}
+    last: list[bytes] = []
 
     def run(x: np.ndarray) -> np.ndarray:
         masks = [np.packbits(p > threshold).tobytes() for p in x]
-        new = {m: x[i] > threshold for i, m in enumerate(masks) if m not in known}
+        new = {m: i for i, m in reversed(list(enumerate(masks))) if m not in known}
         if new:
-            known.update(zip(new, loss(list(new.values())), strict=True))
-        return np.array([known[m] for m in masks])
+            states = [known[last[i]][1] if last else None for i in new.values()]
+            values, states = loss([x[i] > threshold for i in new.values()], states)
+            known.update({m: (float(v), s) for m, v, s in zip(new, values, states, strict=True)})
+        last[:] = masks
+        for m in known.keys() - set(masks):
+            known[m] = (known[m][0], None)  # only the present masks are starts
+        return np.array([known[m][0] for m in masks])
 
     return run
 
 
-def binary_losses(frames: Frames, masks: list[np.ndarray], alpha: float = 0.95) -> np.ndarray:
-    """binary_fitness of each mask over all frames."""
-    out = np.ones(len(masks))
+def binary_losses(frames: Frames, masks: list[np.ndarray], alpha: float = 0.95, starts: list | None = None) -> tuple[np.ndarray, list]:
+    """binary_fitness of each mask over all frames, and the classifiers' weights on all features (0 where unused)."""
+    out, states = np.ones(len(masks)), [None] * len(masks)
     some = [i for i, m in enumerate(masks) if m.any()] if frames.folds > 1 else []
     if some:
-        right = frames.accuracies([np.eye(frames.width)[:, masks[i]] for i in some])
-        out[some] = [binary_loss(a, masks[i], alpha) for a, i in zip(right, some, strict=True)]
-    return out
-
-
-def projection_losses(frames: Frames, masks: list[np.ndarray], dimensions: int, alpha: float = 0.9, weight: float = 0.2, bags: int = 5) -> np.ndarray:
-    """projection_fitness of each mask over all frames."""
-    out = np.ones(len(masks))
+        used = {i: np.append(masks[i], True) for i in some}  # and the offset
+        own = [starts[i][..., used[i]] if starts and starts[i] is not None else None for i in some]
+        right, weights = frames.fitted([np.eye(frames.width)[:, masks[i]] for i in some], own)
+        for i, a, w in zip(some, right, weights, strict=True):
+            out[i] = binary_loss(a, masks[i], alpha)
+            states[i] = np.zeros((*w.shape[:-1], frames.width + 1))
+            states[i][..., used[i]] = w
+    return out, states
+
+
+def projection_losses(frames: Frames, masks: list[np.ndarray], dimensions: int, alpha: float = 0.9, weight: float = 0.2, bags: int = 5, starts: list | None = None) -> tuple[np.ndarray, list]:
+    """projection_fitness of each mask over all frames, and the classifiers' weights on the dimensions."""
+    out, states = np.ones(len(masks)), [None] * len(masks)
     chosen = [m.reshape(-1, dimensions).astype(float) for m in masks]
     some = [i for i, m in enumerate(chosen) if m.sum(0).all()] if frames.folds > 1 else []
     if some:
         views = [chosen[i] / (chosen[i].sum(0) + 1e-12) for i in some]
-        for i, view, a in zip(some, views, frames.accuracies(views, bags), strict=True):
+        right, weights = frames.fitted(views, [starts[i] if starts else None for i in some], bags)
+        for i, view, a, w in zip(some, views, right, weights, strict=True):
             joint = view.T @ frames.total @ view
             norm = np.sqrt(np.diag(joint))
             with np.errstate(invalid="ignore", divide="ignore"):
                 out[i] = projection_loss(a, chosen[i], np.nan_to_num(joint / np.outer(norm, norm)), alpha, weight)
-    return out
+            states[i] = w
+    return out, states
+
+
+def strided(df: DataFrame, target: str, features: str, stride: int, seed: int) -> DataFrame:
+    """About every stride-th frame, by digest of its values."""
+    return df if stride <= 1 else df.where(F.pmod(F.xxhash64(F.lit(seed), target, features), F.lit(stride)) == 0)
+
+
+def rounds(select: Callable[[list[int] | None], list[int]], most: int, save: str | None = None, spark=None) -> list[int]:
+    """What select chooses from its own choice of the round before, until that stays the same, at most so often.
+
+    With save, each round is stored there when it ends, and a later call goes on behind the last one.
+    """
+    chosen, done = None, 0
+    if save is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(save)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            for r in spark.read.schema("round int, chosen array<int>, settled boolean").parquet(save).orderBy("round").collect():  # one row per round
+                done, chosen = r["round"], list(r["chosen"])
+                if r["settled"]:
+                    return chosen
+    for k in range(done + 1, most + 1):
+        now = select(chosen)
+        settled = chosen is not None and set(now) == set(chosen)
+        chosen = now
+        if save is not None:
+            spark.createDataFrame([(k, [int(p) for p in now], settled)], "round int, chosen array<int>, settled boolean").coalesce(1).write.mode("append").parquet(save)
+        if settled:
+            break
+    return chosen or []
 
 
 def candidates(df: DataFrame, target: str, features: str, limit: int | None, sensitivity: float, fallback: int) -> tuple[list[int], np.ndarray]:
@@ -361,25 +415,41 @@ def shortlist(df: DataFrame, target: str, features: str, limit: int | None, sens
     return [positions[i] for i in relevance_order(scores, correlation(scatter(cut, target, features)), mrmr_limit)]
 
 
-def bpso(df: DataFrame, target: str, features: str = "features", candidate_limit: int | None = 150, sensitivity: float = 2.0, mrmr_limit: int = 50, particles: int | None = None, steps: int | None = None, alpha: float = 0.95, seed: int = 42, sample_rows: int | None = None, allow_empty: bool = False) -> list[int]:
-    """Positions that the binary swarm selects."""
-    short = shortlist(df, target, features, candidate_limit, sensitivity, 150, mrmr_limit)
-    particles = particles or int(np.clip(0.3 * len(short), 20, 60))
-    steps = steps or int(np.clip(0.4 * len(short), 15, 40))
-    frames = packed(gather(df, short, features), target, features, sample_rows=sample_rows, seed=seed)
-    best, _ = swarm(evaluated(lambda masks: binary_losses(frames, masks, alpha)), len(short), particles, steps, seed)
-    frames.blocks.unpersist()
-    chosen = [short[i] for i in np.flatnonzero(best > 0.5)]
-    if not chosen and not allow_empty:
-        raise ValueError("the swarm selected nothing")
-    return chosen
-
-
-def mpso(df: DataFrame, target: str, dimensions: int = 5, features: str = "features", candidate_limit: int | None = 250, sensitivity: float = 2.0, mrmr_limit: int = 60, particles: int = 20, steps: int = 10, alpha: float = 0.9, weight: float = 0.2, seed: int = 42, sample_rows: int | None = None) -> tuple[list[int], np.ndarray]:
-    """Positions and the matrix (positions by dimensions) of mean-of-features weights."""
-    short = shortlist(df, target, features, candidate_limit, sensitivity, 250, mrmr_limit)
-    frames = packed(gather(df, short, features), target, features, sample_rows=sample_rows, seed=seed)
-    best, _ = swarm(evaluated(lambda masks: projection_losses(frames, masks, dimensions, alpha, weight)), len(short) * dimensions, particles, steps, seed)
-    frames.blocks.unpersist()
-    chosen = (best.reshape(len(short), dimensions) > 0.5).astype(float)
-    return short, chosen / (chosen.sum(0) + 1e-12)
+def bpso(df: DataFrame, target: str, features: str = "features", candidate_limit: int | None = 150, sensitivity: float = 2.0, mrmr_limit: int = 50, particles: int | None = None, steps: int | None = None, alpha: float = 0.95, seed: int = 42, sample_rows: int | None = None, allow_empty: bool = False, stride: int = 1, w: float = 0.729, c1: float = 1.49445, c2: float = 1.49445, n_rounds: int = 1, save: str | None = None) -> list[int]:
+    """Positions that the binary swarm selects, in n_rounds at most, each among what the one before selected, until that is stable."""
+    df = strided(df, target, features, stride, seed)
+
+    def once(among: list[int] | None) -> list[int]:
+        cut = df if among is None else gather(df, among, features)
+        short = shortlist(cut, target, features, candidate_limit, sensitivity, 150, mrmr_limit)
+        size = particles or int(np.clip(0.3 * len(short), 20, 60))
+        turns = steps or int(np.clip(0.4 * len(short), 15, 40))
+        frames = packed(gather(cut, short, features), target, features, sample_rows=sample_rows, seed=seed)
+        best, _ = swarm(evaluated(lambda masks, starts: binary_losses(frames, masks, alpha, starts)), len(short), size, turns, seed, w, c1, c2)
+        frames.blocks.unpersist()
+        chosen = [short[i] if among is None else among[short[i]] for i in np.flatnonzero(best > 0.5)]
+        if not chosen and not allow_empty:
+            raise ValueError("the swarm selected nothing")
+        return chosen
+
+    return rounds(once, n_rounds, save, df.sparkSession)
+
+
+def mpso(df: DataFrame, target: str, dimensions: int = 5, features: str = "features", candidate_limit: int | None = 250, sensitivity: float = 2.0, mrmr_limit: int = 60, particles: int = 20, steps: int = 10, alpha: float = 0.9, weight: float = 0.2, seed: int = 42, sample_rows: int | None = None, stride: int = 1, w: float = 0.729, c1: float = 1.49445, c2: float = 1.49445, threshold: float = 0.5, n_rounds: int = 1) -> tuple[list[int], np.ndarray]:
+    """Positions and the matrix (positions by dimensions) of mean-of-features weights; rounds as in bpso, among the features in use."""
+    df = strided(df, target, features, stride, seed)
+    last: tuple[list[int], np.ndarray] = ([], np.zeros((0, dimensions)))
+
+    def once(among: list[int] | None) -> list[int]:
+        nonlocal last
+        cut = df if among is None else gather(df, among, features)
+        short = shortlist(cut, target, features, candidate_limit, sensitivity, 250, mrmr_limit)
+        frames = packed(gather(cut, short, features), target, features, sample_rows=sample_rows, seed=seed)
+        best, _ = swarm(evaluated(lambda masks, starts: projection_losses(frames, masks, dimensions, alpha, weight, starts=starts), threshold), len(short) * dimensions, particles, steps, seed, w, c1, c2)
+        frames.blocks.unpersist()
+        chosen = (best.reshape(len(short), dimensions) > threshold).astype(float)
+        last = ([p if among is None else among[p] for p in short], chosen / (chosen.sum(0) + 1e-12))
+        return [p for p, used in zip(last[0], chosen.any(1), strict=True) if used]
+
+    rounds(once, n_rounds)
+    return last

@@ -216,7 +216,7 @@ def test_swarms_and_distances_use_every_frame(spark):
             want.append((selection.decide(px[fold == k][:, m], models) == py[fold == k]).mean())
         assert abs(value - np.mean(want)) < 1e-9
     assert abs(selection.draws(np.arange(100_000, dtype=np.uint64), 3).mean() - 1) < 0.02
-    assert selection.projection_losses(frames, [np.array([True, False, False, True] * 2)], 2)[0] < 1
+    assert selection.projection_losses(frames, [np.array([True, False, False, True] * 2)], 2)[0][0] < 1
     frames.blocks.unpersist()
     whole = amino.normalised(x.T)
     want = amino.distance_matrix(amino.pair_distances(spark, whole, 12), 4)
