@@ -30,6 +30,15 @@ def normalised(values: np.ndarray) -> np.ndarray:
     return np.where(spread > 1e-12, values / np.where(spread > 1e-12, spread, 1.0), 0.0)
 
 
+def normalised_frames(df: DataFrame, features: str = "features") -> DataFrame:
+    """df with every feature over its deviation (of the population); constant features become 0."""
+    spread = to_long(df, features).groupBy("pos").agg(F.stddev_pop("x").alias("s"))
+    # One row, as wide as a frame.
+    scales = spread.agg(F.map_from_entries(F.collect_list(F.struct("pos", F.when(F.col("s") > 1e-12, F.col("s")).alias("s")))).alias("_scales"))
+    over = lambda x, i: F.when(x.isNotNull(), F.coalesce(x.cast("double") / F.element_at("_scales", i), F.lit(0.0)))
+    return df.crossJoin(F.broadcast(scales)).withColumn(features, F.transform(features, over)).drop("_scales")
+
+
 def bandwidth(n: float, kernel: str = "epanechnikov", weights: np.ndarray | None = None) -> float:
     if weights is not None:
         n = weights.sum() ** 2 / (weights**2).sum()

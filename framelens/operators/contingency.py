@@ -32,10 +32,12 @@ def binned(long: DataFrame, edges: DataFrame) -> DataFrame:
 def chi_squared(df: DataFrame, target: str, features: str = "features", bins: int = 5, stride: int = 1, key: Sequence[str] = (), order: Sequence[str] = (), sample_rows: int | None = None) -> DataFrame:
     """pos, score over the whole grid of bins and classes; constant features have no row.
 
-    Edges are of all rows (or the first sample_rows by order); counts of every stride-th row of each trajectory (key, order).
+    Edges are of all rows (or the first sample_rows by order); counts of every stride-th row of each
+    trajectory (key, order), without an order of about every stride-th by digest of its values.
     """
     edges = quantile_edges(df, bins, features, sample_rows, order).where(F.size("edges") > 1)
-    counted = every(df, key, order, stride) if stride > 1 else df
+    digest = F.pmod(F.xxhash64(target, features), F.lit(stride)) == 0
+    counted = df if stride <= 1 else every(df, key, order, stride) if order else df.where(digest)
     long = to_long(counted, features, [target])
     observed = binned(long, edges).where("bin is not null").groupBy("pos", "bin", target).agg(F.count(F.lit(1)).alias("o"))
     # Dealt by feature once, so that the marginals need no further exchange; a feature has few bins and classes.

@@ -13,10 +13,14 @@ from framelens.operators import reduction as R
 from framelens.operators import selection as S
 from framelens.operators import thresholds as H
 from framelens.plans import pipeline as P
+from framelens.plans.parameters import overridden
 from framelens.plans.registered import LONG, query
-from framelens.plans.statistics import embeddings, lines
+from framelens.plans.statistics import VARIANCE_KNEE, VARIANCE_LEVEL, WIDE, embeddings, lines
 
-SMALL = P.Parameters(particles=8, max_iter=4, mpso_particles=6, mpso_iter=2, num_eigenvector=2, num_iteration=200, max_amino=8, amino_bins=10, candidate_limit=16, n_dimensions=3)
+#: Fewer clusters and coarser grids than the workflow's own; all frames.
+SMALL = overridden(P.Parameters(), {"fisher_amino.n_amino_outputs": 8, "fisher_amino.bins": 10, "fisher_amino.knee_sensitivity": 1.0, "chi_sq_amino.max_amino": 8, "chi_sq_amino.bins": 10, "chi_sq_amino.knee_sensitivity": 1.0, "chi_sq_amino.stride": 1})
+#: The workflow's own, on all frames.
+ALL_FRAMES = overridden(P.Parameters(), {"bpso.stride": 1, "mpso.sampling_stride": 1, "chi_sq_amino.stride": 1})
 
 
 def _top(spark, sf_dir, k=16):
@@ -147,15 +151,14 @@ def o88_mean_projection(spark, sf_dir):
 
 @query(f"with {LONG}, s as (select pos, stddev_pop(x) as s from long group by 1) select vec_id, pos, round(case when s > 1e-12 then x / s else 0 end, 5) as x from long join s using (pos)")
 def o89_normalised_trajectories(spark, sf_dir):
-    df = embeddings(spark, sf_dir)
-    long = to_long(df, keep=["vec_id"])
-    spread = long.groupBy("pos").agg(F.stddev_pop("x").alias("s"))
-    return long.join(spread, "pos").select("vec_id", "pos", F.round(F.when(F.col("s") > 1e-12, F.col("x") / F.col("s")).otherwise(F.lit(0.0)), 5).alias("x"))
+    df = A.normalised_frames(embeddings(spark, sf_dir))
+    return to_long(df, keep=["vec_id"]).select("vec_id", "pos", F.round("x", 5).alias("x"))
 
 
 @query("select count(*) as n, round(2.2 * power(count(*), -1.0 / 6), 9) as bandwidth from embeddings")
 def o90_bandwidth(spark, sf_dir):
-    return embeddings(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")).withColumn("bandwidth", F.round(2.2 * F.pow(F.col("n").cast("double"), F.lit(-1.0 / 6)), 9))
+    n = embeddings(spark, sf_dir).count()
+    return spark.createDataFrame([(n, round(float(A.bandwidth(n)), 9))], "n long, bandwidth double")
 
 
 @query()
@@ -210,19 +213,39 @@ def o74_time_lagged_states(spark, sf_dir):
 
 @query()
 def o101_pipeline_leaderboard(spark, sf_dir):
-    results = P.run(embeddings(spark, sf_dir), "label")
+    results = P.run(embeddings(spark, sf_dir), "label", parameters=ALL_FRAMES)
     return P.leaderboard(results, "label").select("pipeline", F.round("separability", 6).alias("separability"), "rank", F.round("share", 6).alias("share"))
 
 
+@query(f"with {LONG}, {VARIANCE_KNEE} select vec_id, count(*) as n, round(sum(x), 5) as total from long where pos in (select pos from a where v > {VARIANCE_LEVEL}) group by 1")
+def o99_variance_filtered(spark, sf_dir):
+    df, _ = P.variance_filtered(embeddings(spark, sf_dir), "features", P.Parameters())
+    return to_long(df, keep=["vec_id"]).groupBy("vec_id").agg(F.count("x").alias("n"), F.round(F.sum("x"), 5).alias("total"))
+
+
+@query(
+    """with r(pipeline, features, components) as (values ('means_all', 64, 2), ('means_half', 32, 2))
+    select pipeline, (select count(*) from embeddings) as samples, features::INT as features, (select count(distinct label) from embeddings) as classes, components::INT as components from r"""
+)
+def o20_summary_of_runs(spark, sf_dir):
+    df = embeddings(spark, sf_dir)
+    width = df.select(F.max(F.size("features"))).first()[0]
+    results = []
+    for name, chosen in (("means_all", range(width)), ("means_half", range(0, width, 2))):
+        halves = np.array([[k % 2 == 0, k % 2 == 1] for k in range(len(chosen))], float)
+        results.append(P.Result(name, list(chosen), R.project(gather(df, chosen), halves / halves.sum(0)), 2))
+    return P.run_summary(results, "label")
+
+
 @query()
 def o107_scree(spark, sf_dir):
     rows = P.scree(R.scatter(embeddings(spark, sf_dir), "label"))
     return spark.createDataFrame(rows, "component int, variance double, running double")
 
 
-@query()
+@query(f"with {WIDE}, {VARIANCE_KNEE} select pos, round(v, 4) as variance from a where v > {VARIANCE_LEVEL}")
 def o58_variance_knee_filter(spark, sf_dir):
-    return H.variance_cut(M.variances(lines(spark, sf_dir)).select("pos", "variance"))
+    return H.variance_cut(M.variances(lines(spark, sf_dir)).select("pos", "variance")).withColumn("variance", F.round("variance", 4))
 
 
 def flagship(spark, sf_dir):

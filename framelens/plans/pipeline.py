@@ -22,47 +22,13 @@ from framelens.operators import reduction as R
 from framelens.operators import selection as S
 from framelens.operators import tables as T
 from framelens.operators import thresholds as H
+from framelens.plans.parameters import Parameters, flattened
+from framelens.sources.shared import stored
 
 SELECTIONS = ("bpso", "mpso", "fisher_amino", "chi_sq_amino")
 REDUCTIONS = ("flda", "pca", "zhlda", "mhlda", "gdhlda")
 
 
-@dataclass(frozen=True)
-class Parameters:
-    """Defaults of the workflow; anything may be overridden by keyword."""
-
-    knee_sensitivity: float = 1.0
-    outlier_multiplier: float = 3.0
-    fallback_percentile: float = 90.0
-    min_clean_ratio: float = 0.5
-    candidate_limit: int | None = None
-    mrmr_limit: int = 50
-    particles: int = 20
-    max_iter: int = 30
-    n_dimensions: int = 5
-    mpso_particles: int = 40
-    mpso_iter: int = 10
-    max_amino: int | None = None
-    q_bins: int = 5
-    amino_bins: int | None = 20
-    num_eigenvector: int | None = None
-    learning_rate: float = 1e-4
-    num_iteration: int = 1000
-    stop_crit: int = 30
-    convergence_threshold: float = 1e-5
-    sample_rows: int | None = None
-    seed: int = 42
-
-
-HELP = {
-    "knee_sensitivity": "larger is more conservative about calling a point a knee",
-    "candidate_limit": "features kept by score before the costly steps; None finds the knee",
-    "max_amino": "most features that stand for clusters; None means 40",
-    "num_eigenvector": "components kept; None means 95 % of the variance",
-    "sample_rows": "frames that swarms and mutual information are computed on, at most; None means all",
-}
-
-
 @dataclass
 class Result:
     """What a configuration gave; data is lazy."""
@@ -84,7 +50,7 @@ def configurations(selections: Sequence[str] = SELECTIONS, reductions: Sequence[
 
 def parameter_rows(parameters: Parameters) -> list[tuple[str, str, str]]:
     """name, value, help."""
-    return [(k, str(v), HELP.get(k, "")) for k, v in asdict(parameters).items()]
+    return [(name, str(value), text) for name, value, text in flattened(parameters)]
 
 
 def assigned(df: DataFrame, how: str, parts: Sequence[str] = ("construct", "subconstruct"), key: Sequence[str] = ("construct", "subconstruct", "replica"), order: Sequence[str] = ("frame_number",), features: str = "features", **options) -> DataFrame:
@@ -119,30 +85,37 @@ def selected_union(results: Sequence[Result]) -> list[int]:
 def variance_filtered(df: DataFrame, features: str, p: Parameters) -> tuple[DataFrame, list[int]]:
     """df with the features that vary enough, and their positions."""
     stats = H.without_insane(M.variances(df, features).select("pos", "variance"), "variance")
-    kept = H.variance_cut(stats, "variance", p.knee_sensitivity, p.outlier_multiplier, p.fallback_percentile, p.min_clean_ratio)
+    v = p.variance
+    kept = H.variance_cut(stats, "variance", v.knee_sensitivity, v.outlier_multiplier, v.fallback_percentile, v.min_clean_ratio)
     positions = sorted(r["pos"] for r in kept.collect())  # one number per feature
     return gather(df, positions, features), positions
 
 
-def _amino(df: DataFrame, features: str, scores: DataFrame, p: Parameters, fallback: float | None) -> tuple[list[int], None]:
-    kept = H.cut_by_knee(scores, "score", p.knee_sensitivity, 1.0, fallback)
+def _amino(df: DataFrame, features: str, scores: DataFrame, sensitivity: float, most: int | None, bins: int | None, sample_rows: int | None, fallback: float | None) -> list[int]:
+    kept = H.cut_by_knee(scores, "score", sensitivity, 1.0, fallback)
     positions = [r["pos"] for r in kept.orderBy(F.desc("score"), "pos").collect()]
     if not positions:
-        return [], None
+        return []
     cut = M.min_max_scaled(gather(df, positions, features), features, 1e-12)
-    return [positions[i] for i in A.select_features(cut, features, p.max_amino, p.amino_bins, p.sample_rows)], None
+    return [positions[i] for i in A.select_features(cut, features, most, bins, sample_rows)]
 
 
 def select(df: DataFrame, target: str, features: str, method: str, p: Parameters) -> tuple[list[int], np.ndarray | None]:
     """Positions, and a matrix where the method projects."""
     if method == "bpso":
-        return S.bpso(df, target, features, p.candidate_limit, 2.0, p.mrmr_limit, p.particles, p.max_iter, seed=p.seed, sample_rows=p.sample_rows), None
+        o = p.bpso
+        return S.bpso(df, target, features, o.candidate_limit, o.knee_sensitivity, o.mrmr_limit, o.n_particles or o.population_size, o.max_iter, o.accuracy_sparsity_weight, p.seed, p.sample_rows, stride=o.stride, w=o.w, c1=o.c1, c2=o.c2, n_rounds=o.n_rounds), None
     if method == "mpso":
-        return S.mpso(df, target, p.n_dimensions, features, p.candidate_limit, 2.0, 60, p.mpso_particles, p.mpso_iter, seed=p.seed, sample_rows=p.sample_rows)
+        o = p.mpso
+        return S.mpso(df, target, o.n_dimensions, features, o.candidate_limit, o.knee_sensitivity, o.mrmr_limit, o.max_candidates, o.optimization_iterations, o.accuracy_sparsity_weight, o.dimension_independence_penalty, p.seed, p.sample_rows, stride=o.sampling_stride, threshold=o.feature_threshold, n_rounds=o.n_rounds)
     if method == "fisher_amino":
-        return _amino(df, features, M.fisher_pooled_samples(M.class_moments(df, target, features)), p, None)
+        o = p.fisher_amino
+        scores = M.fisher_pooled_samples(M.class_moments(df, target, features))
+        return _amino(df, features, scores, o.knee_sensitivity, o.n_amino_outputs, o.bins, p.sample_rows, None), None
     if method == "chi_sq_amino":
-        return _amino(df, features, C.chi_squared(M.min_max_scaled(df, features), target, features, p.q_bins), p, 0.0)
+        o = p.chi_sq_amino
+        scores = C.chi_squared(M.min_max_scaled(df, features), target, features, o.q_bins, o.stride)
+        return _amino(df, features, scores, o.knee_sensitivity, o.max_amino, o.bins, p.sample_rows, 0.0), None
     raise ValueError(f"unknown selection {method!r}: one of {', '.join(SELECTIONS)}")
 
 
@@ -150,23 +123,29 @@ def reduce(df: DataFrame, target: str, features: str, method: str, p: Parameters
     """df with proj, and its number of components."""
     if method not in R.FITS:
         raise ValueError(f"unknown reduction {method!r}: one of {', '.join(REDUCTIONS)}")
+    o = getattr(p, method)
     if method == "pca":
-        fit = R.fit_wide_pca(df, features, p.num_eigenvector)
+        fit = R.fit_wide_pca(df, features, o.num_eigenvector)
         return fit(df, features), fit.matrix.shape[1]
-    s = R.scatter(df, target, features)
-    descends = method in ("zhlda", "gdhlda")
-    options = {"rate": p.learning_rate, "steps": p.num_iteration, "patience": p.stop_crit, "tolerance": p.convergence_threshold} if descends else {}
-    fit = R.FITS[method](s, p.num_eigenvector, **options)
+    options = {"rate": o.learning_rate, "steps": o.num_iteration, "patience": o.stop_crit, "tolerance": o.convergence_threshold} if method in ("zhlda", "gdhlda") else {"regularization": o.regularization}
+    fit = R.FITS[method](R.scatter(df, target, features), o.num_eigenvector, **options)
     return fit(df, features), fit.matrix.shape[1]
 
 
-def run(df: DataFrame, target: str, features: str = "features", configs: Sequence[tuple[str, str]] | None = None, parameters: Parameters | None = None, filter_variance: bool = True) -> list[Result]:
-    """Every configuration on the same filtered and scaled frames."""
+def run(df: DataFrame, target: str, features: str = "features", configs: Sequence[tuple[str, str]] | None = None, parameters: Parameters | None = None, filter_variance: bool = True, assign: str | None = None, **assignment) -> list[Result]:
+    """Every configuration on the same filtered and scaled frames.
+
+    assign: how each frame gets its class, named as target, after scaling (metadata, gmm, spectral or tica;
+    see ``assigned``, which takes the rest); None where target is a column of df.
+    """
     p = parameters or Parameters()
     positions = None
     if filter_variance:
         df, positions = variance_filtered(df, features, p)
     df = M.standard_scaled(df, features)
+    if assign is not None:
+        own = {"gmm": asdict(p.gmm), "spectral": asdict(p.spectral), "tica": asdict(p.tica)}.get(assign, {})
+        df = stored(assigned(df, assign, features=features, **{**own, **assignment}).withColumnRenamed("class", target))
     results: list[Result] = []
     chosen: dict[str, tuple] = {}
     for selection, reduction in configs or configurations():

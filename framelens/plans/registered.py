@@ -13,6 +13,15 @@ ORACLES: dict[str, str] = {}
 LONG = "long as (select vec_id, label, unnest(range(0, len(embedding)))::INT as pos, unnest(embedding)::DOUBLE as x from embeddings)"
 
 
+#: The knee of the values v of a table, as one row of level (null without one), in the oracle's dialect.
+KNEE = """(with s as (select v, (row_number() over (order by v desc) - 1)::DOUBLE as i, count(*) over () as n, max(v) over () as hi, min(v) over () as lo from {table}),
+    h as (select i, v, n, (hi - v) / (hi - lo) - i / (n - 1) as h from s where n >= 3 and hi > lo),
+    e as (select *, i > 0 and i < n - 1 and h >= lag(h) over w and h >= lead(h) over w as peak, i > 0 and i < n - 1 and h <= lag(h) over w and h <= lead(h) over w as dip from h window w as (order by i)),
+    t as (select *, last_value(case when peak then i end ignore nulls) over (order by i rows unbounded preceding) as top,
+        last_value(case when peak then h - {sensitivity} / (n - 1) when dip then 0.0 end ignore nulls) over (order by i rows unbounded preceding) as bound from e)
+    select max(v) as level from h where i = (select top from t where top is not null and i > top and h < bound order by i limit 1))"""
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f

@@ -8,7 +8,7 @@ from framelens.functions.features import feature_columns, to_array, to_long
 from framelens.operators import contingency as C
 from framelens.operators import moments as M
 from framelens.operators import thresholds as T
-from framelens.plans.registered import LONG, query, table
+from framelens.plans.registered import KNEE, LONG, query, table
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 WIDE = """long as (select l_returnflag as cls, unnest(range(0, 4))::INT as pos,
@@ -131,15 +131,16 @@ def o45_binned(spark, sf_dir):
     return C.binned(to_long(df), C.quantile_edges(df)).groupBy("pos", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    f"""with {LONG}, {_EDGES}, b as (select label, pos, {_BIN} as bin from long join q using (pos)),
+_CHI = f"""with {LONG}, {_EDGES}, b as (select label, pos, {_BIN} as bin from long join q using (pos)),
     o as (select pos, bin, label, count(*) as o from b group by all),
     r as (select pos, bin, sum(o) as r from o group by all), c as (select pos, label, sum(o) as c from o group by all),
     t as (select pos, sum(o) as t from o group by all),
     g as (select r.pos, coalesce(o.o, 0) as o, r.r * c.c / t.t as e from r join c using (pos) join t using (pos)
           left join o on o.pos = r.pos and o.bin = r.bin and o.label = c.label)
     select pos, round(sum((o - e) * (o - e) / e), 6) as score from g group by pos"""
-)
+
+
+@query(_CHI)
 def o46_chi_squared(spark, sf_dir):
     return rounded(C.chi_squared(embeddings(spark, sf_dir), "label"), "score")
 
@@ -172,9 +173,9 @@ def o57_top_candidates(spark, sf_dir):
     return rounded(M.top(M.fisher_laplacian(M.class_moments(embeddings(spark, sf_dir), "label")), 10), "score")
 
 
-@query()
+@query(_CHI.rsplit("select pos, round(", 1)[0] + f", c2 as (select pos, sum((o - e) * (o - e) / e) as v from g group by pos), k as {KNEE.format(table='c2', sensitivity=1.0)} select pos, round(v, 6) as score from c2, k where v >= coalesce(level, (select quantile_cont(v, 0.9) from c2))")
 def o58_knee_of_chi_squared(spark, sf_dir):
-    return T.cut_by_knee(C.chi_squared(embeddings(spark, sf_dir), "label"), sensitivity=1.0)
+    return rounded(T.cut_by_knee(C.chi_squared(embeddings(spark, sf_dir), "label"), sensitivity=1.0), "score")
 
 
 @query(f"{_VAR} select pos, round(variance, 6) as variance from v where variance > (select quantile_cont(variance, 0.9) from v)")
@@ -182,11 +183,19 @@ def o59_variance_percentile(spark, sf_dir):
     return rounded(T.above_percentile(M.variances(embeddings(spark, sf_dir)).select("pos", "variance"), "variance"), "variance")
 
 
-@query()
+#: Tables a (pos, v), q, clean and k (level) of a variance cut, from the variances of long.
+VARIANCE_KNEE = f"""a as (select pos, var_pop(x) as v from long group by pos), q as (select quantile_cont(v, 0.75) + 3.0 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) as most from a),
+    part as (select v from a, q where v <= most), clean as (select v from part where (select count(*) from part) >= 0.5 * (select count(*) from a) union all select v from a where (select count(*) from part) < 0.5 * (select count(*) from a)),
+    k as {KNEE.format(table='clean', sensitivity=1.0)}"""
+#: The level without a knee.
+VARIANCE_LEVEL = "coalesce((select level from k), (select case when count(*) > 10 then quantile_cont(v, 0.9) else 2 * median(v) end from a))"
+
+
+@query(f"with {LONG}, {VARIANCE_KNEE} select pos, round(v, 6) as variance from a where v > {VARIANCE_LEVEL}")
 def o59_variance_knee(spark, sf_dir):
-    return T.variance_cut(M.variances(embeddings(spark, sf_dir)).select("pos", "variance"))
+    return rounded(T.variance_cut(M.variances(embeddings(spark, sf_dir)).select("pos", "variance")), "variance")
 
 
-@query()
+@query(f"with {LONG}, {PER_CLASS.format(c='label')}, s as (select pos, sum(n * (m - g) * (m - g)) / (sum(n * ss / (n - 1)) + 1e-12) as v from joined where n >= 2 group by pos), k as {KNEE.format(table='s', sensitivity=1.0)} select pos, round(v, 6) as score from s, k where v >= coalesce(level, (select quantile_cont(v, 0.9) from s))")
 def o60_fisher_knee_cut(spark, sf_dir):
-    return T.cut_by_knee(M.fisher_pooled_samples(M.class_moments(embeddings(spark, sf_dir), "label")))
+    return rounded(T.cut_by_knee(M.fisher_pooled_samples(M.class_moments(embeddings(spark, sf_dir), "label"))), "score")

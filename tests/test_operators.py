@@ -9,6 +9,7 @@ from framelens.functions.features import feature_columns, gather, pairwise_dista
 from framelens.operators import amino, clustering, reduction, selection, tables, thresholds
 from framelens.operators import moments as M
 from framelens.plans import pipeline
+from framelens.plans.parameters import overridden
 
 
 def frame(spark, x, y):
@@ -161,7 +162,7 @@ def test_states(spark):
 
 def test_pipeline_runs_the_grid(data, tmp_path):
     df, _, _ = data
-    p = pipeline.Parameters(particles=4, max_iter=1, mpso_particles=4, mpso_iter=1, num_eigenvector=2, num_iteration=20, sample_rows=90, max_amino=4, amino_bins=8, n_dimensions=3)
+    p = overridden(pipeline.Parameters(), {"mpso.max_candidates": 4, "mpso.optimization_iterations": 1, "mpso.sampling_stride": 1, "flda.num_eigenvector": 2, "pca.num_eigenvector": 2, "sample_rows": 90, "fisher_amino.n_amino_outputs": 4, "fisher_amino.bins": 8, "mpso.n_dimensions": 3})
     assert len(pipeline.configurations()) == 20
     results = pipeline.run(df, "class", configs=[("fisher_amino", "pca"), ("mpso", "flda")], parameters=p, filter_variance=False)
     board = pipeline.leaderboard(results, "class").collect()
@@ -249,7 +250,9 @@ def test_leaderboard_is_of_the_whole_workflow(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "run", run)
     with pytest.raises(InterruptedError):
         learning.o101_pipeline_leaderboard(spark, "/root/testdata/sf0.001")
-    assert given == {"configs": pipeline.configurations(), "parameters": pipeline.Parameters(), "filter_variance": True}
+    # The workflow's own parameters, but that every frame is used.
+    every = overridden(pipeline.Parameters(), {"bpso.stride": 1, "mpso.sampling_stride": 1, "chi_sq_amino.stride": 1})
+    assert given == {"configs": pipeline.configurations(), "parameters": every, "filter_variance": True}
 
 
 def test_a_stored_step_is_made_again_for_other_rows(spark, tmp_path):
