@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelens.plans import learning, relations, statistics  # noqa: F401  registering
+from framelens.plans import files, learning, relations, statistics  # noqa: F401  registering
 from framelens.plans.learning import flagship  # noqa: F401
 from framelens.plans.registered import ORACLES, QUERIES
 

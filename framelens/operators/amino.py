@@ -1,23 +1,29 @@
 """Clustering of features by mutual information.
 
-The distance of two features is 1 - I/H of their joint density, estimated on a grid with a
-radial Epanechnikov kernel from all frames (``sample_rows`` of them where a caller asks for
-it): tasks add the kernels of their frames to the grids of a group of pairs, and the grids
-are summed by pair and cell. The matrix of distances between candidates comes to the driver for k-medoids.
+The distance of two features is 1 - I/H of their joint density, estimated on a grid from all
+frames (``sample_rows`` of them where a caller asks for it), each with its weight if there are
+any. With the radial Epanechnikov kernel tasks add the kernels of their frames to the grids of a
+group of pairs, and the grids are summed by pair and cell. The Gaussian kernel is a product of
+one factor for each feature, so the grids of all pairs are the tiles of one product of matrices.
+The matrix of distances between candidates comes to the driver for k-medoids.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.functions.features import to_long
+from framelens.operators.grams import TILE, rows_of, tiles_of
 from framelens.operators.selection import drawn
 
+#: Grid points where the number of frames decides, at most.
 MAX_BINS = 50
 ROUNDS = 100
 #: Grid cells that a task adds to, at most.
@@ -98,18 +104,31 @@ def _reach(v: np.ndarray, low: float, high: float, bins: int, width: float) -> t
     return np.minimum(at, bins - 1), np.where(at < bins, 1 - ((low + at * gap - v) / width) ** 2, -np.inf)
 
 
-def frame_distances(df: DataFrame, features: str = "features", bins: int | None = 20, sample_rows: int | None = None, seed: int = 42) -> tuple[DataFrame | None, int]:
-    """(i, j, distance for all i <= j over all frames, number of features); None without frames."""
+def frame_distances(df: DataFrame, features: str = "features", bins: int | None = 20, sample_rows: int | None = None, seed: int = 42, kernel: str = "epanechnikov", weights: str | None = None) -> tuple[DataFrame | None, int]:
+    """(i, j, distance for all i <= j over all frames, number of features); None without frames.
+
+    weights: a column of weights; frames of weight null or at most 0 are left out. As many frames
+    as (sum of weights)^2 / sum of their squares then set the bandwidth. bins None: the root of
+    the number of frames, at most MAX_BINS.
+    """
+    if kernel not in ("epanechnikov", "gaussian"):
+        raise ValueError(f"unknown kernel {kernel!r}: epanechnikov or gaussian")
+    if bins is not None and not 1 <= bins**2 <= CELLS:
+        raise ValueError(f"bins must be from 1 to {int(CELLS**0.5)}")
     value = lambda v: F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v)
-    frames = df.where(F.col(features).isNotNull()).select(F.transform(F.col(features).cast("array<double>"), value).alias("x"))
-    frames = drawn(frames, sample_rows, "x", seed=seed)
+    weight = F.col(weights).cast("double") if weights else F.lit(1.0)
+    frames = df.where(F.col(features).isNotNull()).select(F.transform(F.col(features).cast("array<double>"), value).alias("x"), weight.alias("w")).where("w > 0")
+    frames = drawn(frames, sample_rows, "x", "w", seed=seed)
     stats = to_long(frames, "x").groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("x").alias("s"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("pos").toPandas()  # one row per feature
     if not len(stats):
         return None, 0
     n, spread = int(stats["n"].max()), stats["s"].to_numpy(float)
     scale = np.where(spread > 1e-12, 1 / np.where(spread > 1e-12, spread, 1.0), 0.0)
     low, high = stats["low"].to_numpy(float) * scale, stats["high"].to_numpy(float) * scale
-    grid, width = min(bins or int(np.ceil(np.sqrt(n))), MAX_BINS), bandwidth(n)
+    total = frames.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("q")).first()
+    grid, width = bins or min(int(np.ceil(np.sqrt(n))), MAX_BINS), bandwidth(total["w"] ** 2 / total["q"], kernel)
+    if kernel == "gaussian":
+        return _gaussian_distances(frames, scale, low, high, grid, width), len(scale)
     first, second = np.triu_indices(len(scale))
     size = max(1, CELLS // grid**2)
 
@@ -120,11 +139,12 @@ def frame_distances(df: DataFrame, features: str = "features", bins: int | None
             for batch in batches:
                 for start in range(0, len(batch), 1024):
                     x = np.stack(batch["x"].iloc[start : start + 1024].to_numpy()).T * scale[:, None]
+                    w = batch["w"].iloc[start : start + 1024].to_numpy()
                     near = {f: _reach(x[f], low[f], high[f], grid, width) for f in used}
                     for k, p in enumerate(pairs):
                         (ia, a), (ib, b) = near[first[p]], near[second[p]]
                         cells = (ia * grid)[:, None] + ib
-                        out[k] += np.bincount(cells.ravel(), np.maximum(0.0, a[:, None] + b - 1).ravel(), grid * grid)
+                        out[k] += np.bincount(cells.ravel(), (np.maximum(0.0, a[:, None] + b - 1) * w).ravel(), grid * grid)
             keep = out > 0
             keep[:, 0] = True  # a pair without density has a row too
             k, cell = np.nonzero(keep)
@@ -148,6 +168,47 @@ def frame_distances(df: DataFrame, features: str = "features", bins: int | None
     return total.groupBy("pair").applyInPandas(measure, "i int, j int, distance double"), len(scale)
 
 
+def _gaussian_distances(frames: DataFrame, scale: np.ndarray, low: np.ndarray, high: np.ndarray, grid: int, width: float) -> DataFrame:
+    """i, j, distance for all i <= j: tiles of the product of every feature's kernel at its grid points."""
+    points = np.linspace(low, high, grid).T
+    span = max(1, TILE // grid)  # features of a tile
+    parts = [np.arange(a, min(a + span, len(scale))) for a in range(0, len(scale), span)]
+    places = [(a, b) for a in range(len(parts)) for b in range(a, len(parts))]
+    per_pass = max(1, (16 * CELLS) // (span * grid) ** 2)
+
+    def products_of(some: list[tuple[int, int]]):
+        used = sorted({a for pair in some for a in pair})
+
+        def products(column: pa.Array, weight: pa.Array) -> dict[tuple[int, int], np.ndarray]:
+            x, w = rows_of(column) * scale, weight.to_numpy(zero_copy_only=False)
+            near = {}
+            for a in used:
+                d = (x[:, parts[a], None] - points[parts[a]]) / width
+                near[a] = np.exp(-0.5 * d * d).reshape(len(x), -1)
+            return {(a, b): (near[a] * w[:, None]).T @ near[b] for a, b in some}
+
+        return products
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, tile in zip(batch["i"].to_pylist(), batch["j"].to_pylist(), batch["tile"], strict=True):
+                cells = np.frombuffer(tile.as_buffer(), float).reshape(len(parts[a]), grid, len(parts[b]), grid)
+                found = []
+                for k, i in enumerate(parts[a].tolist()):
+                    for m, j in enumerate(parts[b].tolist()):
+                        if i <= j:
+                            p = cells[k, :, m, :]
+                            found.append((i, j, information_distance(p / p.sum() if p.sum() > 0 else np.full((grid, grid), 1 / grid**2))))
+                i, j, d = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(d, pa.float64())], ["i", "j", "distance"])
+
+    passes = [tiles_of(frames, ["x", "w"], products_of(places[at : at + per_pass])) for at in range(0, len(places), per_pass)]
+    tiles = passes[0]
+    for more in passes[1:]:
+        tiles = tiles.unionAll(more)
+    return tiles.mapInArrow(measure, "i int, j int, distance double")
+
+
 def distance_matrix(pairs: DataFrame, count: int) -> np.ndarray:
     rows = pairs.toPandas()  # candidates squared
     out = np.zeros((count, count))
@@ -188,6 +249,8 @@ def medoids(d: np.ndarray, seeds: list[int]) -> tuple[list[int], float]:
         if set(new) == set(centres):
             break
         centres = new
+    else:
+        warnings.warn(f"medoids still move after {ROUNDS} rounds", stacklevel=2)
     return centres, float(1 + np.sqrt((d[:, centres].min(1) ** 2).sum()))
 
 
@@ -205,13 +268,18 @@ def jumps(distortions: list[float]) -> list[float]:
     return [float(np.diff(np.concatenate([[0.0], np.asarray(distortions) ** (-0.5 * p)])).max()) for p in range(1, 11)]
 
 
+def distortions(d: np.ndarray, max_outputs: int | None = None) -> list[tuple[int, float, list[int]]]:
+    """(number of medoids, distortion, medoids) from 1 to max_outputs (40) of them."""
+    found = [(k, *medoids(d, spread_seeds(d, k))) for k in range(1, min(max_outputs or 40, len(d)) + 1)]
+    return [(k, value, centres) for k, centres, value in found]
+
+
 def clustered(d: np.ndarray, max_outputs: int | None = None) -> list[int]:
-    most = min(max_outputs or 40, len(d))
-    found = {k: medoids(d, spread_seeds(d, k)) for k in range(most, 0, -1)}
-    return found[best_count([found[k][1] for k in range(1, most + 1)])][0]
+    found = distortions(d, max_outputs)
+    return found[best_count([value for _, value, _ in found]) - 1][2]
 
 
-def select_features(df: DataFrame, features: str = "features", max_outputs: int | None = None, bins: int | None = 20, sample_rows: int | None = None) -> list[int]:
+def select_features(df: DataFrame, features: str = "features", max_outputs: int | None = None, bins: int | None = 20, sample_rows: int | None = None, kernel: str = "epanechnikov", weights: str | None = None) -> list[int]:
     """Positions of features that stand for clusters of features."""
-    pairs, count = frame_distances(df, features, bins, sample_rows)
+    pairs, count = frame_distances(df, features, bins, sample_rows, kernel=kernel, weights=weights)
     return clustered(distance_matrix(pairs, count), max_outputs) if pairs is not None else []

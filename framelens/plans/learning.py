@@ -166,6 +166,21 @@ def o92_information_distances(spark, sf_dir):
     return A.frame_distances(_top(spark, sf_dir, 10), bins=10)[0].select("i", "j", F.round("distance", 9).alias("distance"))
 
 
+@query()
+def o92_gaussian_distances(spark, sf_dir):
+    """Weighted frames, Gaussian kernel, all pairs of the first 16 features."""
+    df = gather(embeddings(spark, sf_dir), range(16)).withColumn("weight", 1.0 + F.col("label"))
+    return A.frame_distances(df, bins=12, kernel="gaussian", weights="weight")[0].select("i", "j", F.round("distance", 9).alias("distance"))
+
+
+@query()
+def o95_distortions(spark, sf_dir):
+    """What the number of clusters is chosen by."""
+    pairs, count = A.frame_distances(_top(spark, sf_dir, 16), bins=10)
+    rows = A.distortions(A.distance_matrix(pairs, count), 8)
+    return spark.createDataFrame([(k, round(value, 9), [int(c) for c in centres]) for k, value, centres in rows], "k int, distortion double, medoids array<int>")
+
+
 @query()
 def o95_amino(spark, sf_dir):
     at = A.select_features(_top(spark, sf_dir, 16), max_outputs=8, bins=10)
