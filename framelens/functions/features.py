@@ -20,6 +20,9 @@ KEY = ("construct", "subconstruct", "replica", "frame_number")
 #: Fixed value: the form of a pair's name.
 PAIR_NAME = r"(?i)^RES(\d+)_(\d+)"
 
+#: Positions up to which each is an expression of its own.
+MANY = 256
+
 
 def feature_columns(df: DataFrame, metadata: Sequence[str] = METADATA) -> list[str]:
     """Numeric columns that are not metadata, in order, each once."""
@@ -48,8 +51,17 @@ def to_wide(df: DataFrame, names: Sequence[str], features: str = "features") ->
 
 def gather(df: DataFrame, positions: Sequence[int], features: str = "features") -> DataFrame:
     """The array cut down to the given positions, in their order; other columns stay."""
-    places = F.array(*map(F.lit, map(int, positions))) if len(positions) <= 64 else F.from_json(F.lit(str(list(map(int, positions)))), "array<int>")
-    return df.withColumn(features, F.transform(places, lambda p: F.get(features, p))) if len(positions) else df.withColumn(features, F.slice(features, 1, 0))
+    at = [int(p) for p in positions]
+    if len(at) <= MANY or len(set(at)) < len(at):
+        return df.withColumn(features, F.array(*[F.get(features, F.lit(p)) for p in at]) if at else F.slice(features, 1, 0))
+    # Thousands of positions: one pass over the array, which gives each value its place, in place of an expression for each.
+    places = [-1] * (max(at) + 1)
+    for k, p in enumerate(at):
+        places[p] = k
+    wanted = F.from_json(F.lit(str(places)), "array<int>")
+    placed = F.transform(features, lambda x, i: F.struct(F.coalesce(F.get(wanted, i), F.lit(-1)).alias("k"), x.alias("x")))
+    kept = F.filter(placed, lambda s: s["k"] >= 0)
+    return df.withColumn(features, F.transform(kept if at == sorted(at) else F.array_sort(kept), lambda s: s["x"]))
 
 
 def pair_names(residues: DataFrame, column: str = "residue") -> DataFrame:

@@ -318,3 +318,13 @@ def test_mhlda_leaves_single_rows_out():
     assert fit.matrix.shape == (4, 2)
     v = fit.matrix[:, 0]
     assert np.allclose(between @ v, fit.values[0] * within @ v, rtol=1e-6, atol=1e-6)
+
+
+def test_gathering_thousands_of_positions(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6, 3000))
+    df = frame(spark, x, np.zeros(6))
+    for at in (sorted(rng.permutation(3000)[:1500].tolist()), rng.permutation(3000)[:700].tolist(), [2, 2, 1], [5, 0], [], [2999] * 300):
+        got = gather(df, at).orderBy("frame_number").collect()
+        assert np.allclose([r["features"] for r in got], x[:, at])
+    assert gather(df, [1, 5000]).first()["features"][1] is None
