@@ -58,7 +58,8 @@ def test_discriminants(data, name):
     df, _, y = data
     fit = reduction.FITS[name](reduction.scatter(df, "class"), 5)
     z = proj(fit(df))
-    assert z.shape[1] == 2 and np.isfinite(z).all()
+    # MHLDA has as many components as features, the others one fewer than classes.
+    assert z.shape[1] == (5 if name == "mhlda" else 2) and np.isfinite(z).all()
     again = proj(reduction.FITS[name](reduction.scatter(df.repartition(7), "class"), 5)(df))
     assert np.allclose(z, again, atol=1e-6)
 
@@ -315,7 +316,7 @@ def test_mhlda_leaves_single_rows_out():
     fit = reduction.fit_mhlda(reduction.Scatter([0, 1, 2], np.array([20.0, 20.0, 1.0]), means, scatters), 3)
     within = sum(20 / 41 * np.linalg.inv(scatters[c] + 1e-4 * np.eye(4)) for c in range(2)) + 1e-9 * np.eye(4)
     between = sum(20 * np.outer(means[c] - x.mean(0), means[c] - x.mean(0)) for c in range(2))
-    assert fit.matrix.shape == (4, 2)
+    assert fit.matrix.shape == (4, 3)
     v = fit.matrix[:, 0]
     assert np.allclose(between @ v, fit.values[0] * within @ v, rtol=1e-6, atol=1e-6)
 

@@ -160,3 +160,19 @@ def test_streamed_moments(spark, tmp_path):
     for r in class_moments(df, "class").collect():
         own = got[(r["class"], r["pos"])]
         assert own["n"] == r["n"] and abs(own["mean"] - r["mean"]) < 1e-9 and abs(own["ss"] - r["ss"]) < 1e-9
+
+
+def test_windowed_means_close_with_the_watermark(spark, tmp_path):
+    """Each micro-batch moves the watermark; rows behind it are dropped, windows behind it come out once."""
+    parts = [[("a", 0, 1.0), ("a", 50, 3.0), ("b", 10, 5.0)], [("a", 200, 7.0)], [("a", 30, 100.0), ("a", 500, 9.0)]]
+    schema = "key string, s int, value double"
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if n == 0:
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).select("key", F.timestamp_seconds("s").alias("t"), "value")
+            out = streaming.windowed(stream, "t", "key", "value", "60 seconds", "60 seconds")
+        query = out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = {(r["key"], r["window"]["start"].timestamp()): (r["n"], r["mean"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[("a", 0.0)] == (2, 2.0) and got[("b", 0.0)] == (1, 5.0)  # the row of second 30 came too late
+    assert got.keys() <= {("a", 0.0), ("b", 0.0), ("a", 180.0)}
