@@ -244,3 +244,14 @@ def test_clashing_columns_are_left_alone(spark):
     rng = __import__("random").Random(2)
     rows = [(1, prose(rng, 30) + " released under the mit license", "en", "a", 3, "0", 1, 2, 3, "s", "f", "l")]
     assert licenses.scan_licenses(frame(spark, rows)).first()["labels"] == "mit"
+
+
+def test_hot_keys_are_routed_otherwise_and_give_the_same(spark, monkeypatch):
+    """Keys that count as hot are broadcast, others shuffled: the rows are the same."""
+    from framelens.llm import common, suffixes, superkmers
+
+    docs = frame(spark, awkward() * 3)
+    plain = [sorted(map(str, f(docs).collect())) for f in (superkmers.remove_seen_windows, suffixes.remove_repeats)]
+    monkeypatch.setattr(common, "LEAST_HOT", 1)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+    assert [sorted(map(str, f(docs).collect())) for f in (superkmers.remove_seen_windows, suffixes.remove_repeats)] == plain
