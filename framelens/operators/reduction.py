@@ -190,7 +190,10 @@ def _inverse(m: np.ndarray) -> np.ndarray:
 
 
 def fit_mhlda(s: Scatter, k: int | None = 2, regularization: float = 1e-4) -> Reduction:
-    """Classes of one row count neither within nor between; where the problem cannot be solved, the leading right singular vectors of the rows."""
+    """Up to as many components as features; those beyond classes - 1 have value 0 and no direction of their own.
+
+    Classes of one row count neither within nor between; where the problem cannot be solved, the leading right singular vectors of the rows.
+    """
     _two_classes(s)
     eye, some = np.eye(s.means.shape[1]), s.n >= 2
     within = sum((n / s.total * _inverse(m + regularization * eye) for n, m in zip(s.n[some], s.scatters[some], strict=True)), 0 * eye)

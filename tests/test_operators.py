@@ -61,7 +61,8 @@ def test_discriminants(data, name):
     # MHLDA has as many components as features, the others one fewer than classes.
     assert z.shape[1] == (5 if name == "mhlda" else 2) and np.isfinite(z).all()
     again = proj(reduction.FITS[name](reduction.scatter(df.repartition(7), "class"), 5)(df))
-    assert np.allclose(z, again, atol=1e-6)
+    # Beyond the rank of the scatter between classes any direction is as good.
+    assert np.allclose(z[:, :2], again[:, :2], atol=1e-6)
 
 
 def test_flda_separates_and_needs_two_classes(spark, data):
