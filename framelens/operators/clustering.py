@@ -230,7 +230,7 @@ def seeds(frames: DataFrame, most: int, rounds: int = 5, seed: int = 42) -> tupl
 
     def draw(centres: np.ndarray | None, k: int, turn: int) -> np.ndarray:
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            kept = pd.DataFrame({"e": [], "x": []})
+            kept = pd.DataFrame({"e": np.zeros(0), "x": np.zeros(0, object)})  # a task without frames has lists, too
             for part in batches:
                 if len(part):
                     x = np.stack(part["x"].to_numpy())

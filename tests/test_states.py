@@ -101,3 +101,19 @@ def test_seeds_are_few_spread_out_and_weigh_all_frames(spark):
     one, _ = K.embedded(same, ["frame"], "features", lambda v: v)
     candidates, weights = K.seeds(one, 4)
     assert candidates.tolist() == [[1.0, 2.0]] and weights.tolist() == [40.0]
+
+
+def test_seeds_from_tasks_without_frames(spark, tmp_path):
+    """Splits of a file that hold no row group give tasks no frame: they draw none, and what the others draw is the same."""
+    x = np.round(blobs(5, 60, 3, 3, 0.5), 3)
+    path = str(tmp_path / "frames")
+    spark.createDataFrame([((i + 0.5) / len(x), v) for i, v in enumerate(x.tolist())], "u double, x array<double>").coalesce(1).write.parquet(path)
+    found, weights = K.seeds(spark.read.parquet(path), 4)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        split = spark.read.parquet(path)
+        assert split.rdd.getNumPartitions() > 1  # the file has one row group
+        again, own = K.seeds(split, 4)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert np.array_equal(again, found) and np.array_equal(own, weights) and own.sum() == len(x)
