@@ -23,6 +23,8 @@ from framelens.operators.thresholds import knee
 
 #: Frames of a block.
 BLOCK = 2000
+#: Frames of a block that are multiplied at once.
+CACHED = 500
 #: Parts that a class is dealt to folds in.
 BUCKETS = 1024
 NEWTON_STEPS = 12
@@ -209,30 +211,42 @@ def draws(row: np.ndarray, number: int) -> np.ndarray:
 
 
 def _newton_sums(views: list[np.ndarray], weights: list[np.ndarray], on: list[np.ndarray], bags: int):
-    """Per view the sums of its classifiers still on: slope and curvature of the squared hinge loss, by fold, bag and class."""
+    """Per view the sums of its classifiers still on: slope and curvature of the squared hinge loss, by fold, bag and class.
+
+    All classifiers of a view are the columns of one product: products of two dimensions times the frames' weights in each.
+    """
+    folds, each, classes = on[0].shape
+    left = [v for v in range(len(views)) if on[v].any()]
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = [v for v in range(len(views)) if on[v].any()]
-        out = {v: np.zeros((int(on[v].sum()), views[v].shape[1] + 1, views[v].shape[1] + 2)) for v in left}
+        which = {v: np.nonzero(on[v]) for v in left}
+        own = {v: weights[v][on[v]].T for v in left}
+        upper = {v: np.triu_indices(len(own[v])) for v in left}
+        curvature = {v: np.zeros((len(upper[v][0]), own[v].shape[1])) for v in left}
+        slope = {v: np.zeros(own[v].shape) for v in left}
         for batch in batches:
-            for x, y, fold, row in _unpacked(batch):
-                for k in range(on[0].shape[0]):
-                    train = fold != k
-                    xk, yk, rk = x[train], y[train], row[train]
-                    times = [draws(rk, k * bags + b) for b in range(bags)] or [np.ones(len(yk))]
+            for block in _unpacked(batch):
+                for start in range(0, len(block[1]), CACHED):
+                    x, y, fold, row = (a[start : start + CACHED] for a in block)
+                    times = np.column_stack([(fold != k) * (draws(row, k * bags + b) if bags else 1.0) for k in range(folds) for b in range(each)])
+                    signs = np.where(y[:, None] == np.arange(classes), 1.0, -1.0)
                     for v in left:
-                        z = _offset(xk, views[v])
-                        place = (on[v].cumsum() - 1).reshape(on[v].shape)[k]
-                        for b, c in np.argwhere(on[v][k]):
-                            sign = np.where(yk == c, 1.0, -1.0)
-                            slack = 1 - sign * (z @ weights[v][k, b, c])
-                            at = np.flatnonzero(slack > 0)
-                            active = z[at]
-                            weighed = active * times[b][at, None]
-                            total = out[v][place[b, c]]
-                            total[:, :-1] += active.T @ weighed
-                            total[:, -1] += weighed.T @ (slack[at] * sign[at])
-        yield pd.DataFrame({"view": np.array(left, np.int32), "sums": [out[v].tobytes() for v in left]})
+                        k, b, c = which[v]
+                        z, sign = _offset(x, views[v]), signs[:, c]
+                        slack = 1 - sign * (z @ own[v])
+                        weighed = times[:, k * each + b] * (slack > 0)
+                        across = np.ascontiguousarray(z.T)
+                        curvature[v] += (across[upper[v][0]] * across[upper[v][1]]) @ weighed
+                        slope[v] += across @ (weighed * slack * sign)
+        out = []
+        for v in left:
+            d, count = slope[v].shape
+            total = np.zeros((count, d, d + 1))
+            i, j = upper[v]
+            total[:, i, j] = total[:, j, i] = curvature[v].T
+            total[:, :, -1] = slope[v].T
+            out.append(total.tobytes())
+        yield pd.DataFrame({"view": np.array(left, np.int32), "sums": out})
 
     return sums
 

@@ -114,7 +114,7 @@ def select(df: DataFrame, target: str, features: str, method: str, p: Parameters
         return _amino(df, features, scores, o.knee_sensitivity, o.n_amino_outputs, o.bins, p.sample_rows, None), None
     if method == "chi_sq_amino":
         o = p.chi_sq_amino
-        scores = C.chi_squared(M.min_max_scaled(df, features), target, features, o.q_bins, o.stride)
+        scores = C.chi_squared(stored(M.min_max_scaled(df, features)), target, features, o.q_bins, o.stride)
         return _amino(df, features, scores, o.knee_sensitivity, o.max_amino, o.bins, p.sample_rows, 0.0), None
     raise ValueError(f"unknown selection {method!r}: one of {', '.join(SELECTIONS)}")
 
@@ -142,7 +142,8 @@ def run(df: DataFrame, target: str, features: str = "features", configs: Sequenc
     positions = None
     if filter_variance:
         df, positions = variance_filtered(df, features, p)
-    df = M.standard_scaled(df, features)
+    # Every pass of a selection or reduction reads these frames, so they are scaled once.
+    df = stored(M.standard_scaled(df, features))
     if assign is not None:
         own = {"gmm": asdict(p.gmm), "spectral": asdict(p.spectral), "tica": asdict(p.tica)}.get(assign, {})
         df = stored(assigned(df, assign, features=features, **{**own, **assignment}).withColumnRenamed("class", target))

@@ -1,9 +1,12 @@
 """Warm starts, strides and rounds of the swarms."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from framelens.operators import selection as S
+from framelens.plans import pipeline as P
+from framelens.plans.parameters import overridden
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +91,38 @@ def test_rounds_of_a_swarm_shrink_to_the_informative_features(data):
     assert set(more) <= set(one) and set(more) & {0, 1}
     at, matrix = S.mpso(df, "class", 2, candidate_limit=6, particles=4, steps=1, n_rounds=2)
     assert matrix.shape == (len(at), 2) and np.allclose(matrix.sum(0), 1)
+
+
+@pytest.mark.parametrize("bags", [0, 2])
+def test_sums_of_all_classifiers_are_those_of_each_alone(bags):
+    """Over more frames than are multiplied at once; some classifiers are off, and a view has none on."""
+    rng = np.random.default_rng(2)
+    n = 2 * S.CACHED + 70
+    x, y, fold, row = rng.normal(size=(n, 4)), rng.integers(0, 3, n).astype(np.int32), rng.integers(0, 2, n).astype(np.int32), rng.permutation(n).astype(np.uint64)
+    views = [np.eye(4)[:, :2], rng.normal(size=(4, 3)), np.eye(4)]
+    shape = (2, max(bags, 1), 3)
+    weights = [rng.normal(size=(*shape, v.shape[1] + 1)) for v in views]
+    on = [np.ones(shape, bool), rng.random(shape) < 0.6, np.zeros(shape, bool)]
+    on[1][0, 0, 0], on[1][1, 0, 1] = True, False
+    blocks = pd.DataFrame({"x": [x.tobytes()], "y": [y.tobytes()], "fold": [fold.tobytes()], "row": [row.tobytes()]})
+    got = next(S._newton_sums(views, weights, on, bags)(iter([blocks])))
+    assert got["view"].tolist() == [0, 1]
+    for v, sums in zip(got["view"], got["sums"], strict=True):
+        z, d = S._offset(x, views[v]), views[v].shape[1] + 1
+        want = []
+        for k, b, c in np.argwhere(on[v]).tolist():
+            sign = np.where(y == c, 1.0, -1.0)
+            slack = 1 - sign * (z @ weights[v][k, b, c])
+            times = (S.draws(row, k * bags + b) if bags else np.ones(n)) * (fold != k) * (slack > 0)
+            want.append(np.column_stack([(z.T * times) @ z, z.T @ (times * slack * sign)]))
+        assert np.allclose(np.frombuffer(sums).reshape(-1, d, d + 1), want)
+
+
+def test_the_workflow_scales_its_frames_once(data):
+    """What a configuration gives is a projection of stored frames, so that no later pass aggregates or scales the input again."""
+    df, _, _ = data
+    p = overridden(P.Parameters(), {"fisher_amino.knee_sensitivity": 1.0, "fisher_amino.bins": 5})
+    for r in P.run(df, "class", configs=[("fisher_amino", "flda"), ("fisher_amino", "pca")], parameters=p, filter_variance=False):
+        plan = r.data._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "Join" not in plan, r.name
+        assert r.data.count() == 240
